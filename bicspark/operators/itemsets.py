@@ -121,12 +121,14 @@ class ClosedSets:
         return found if concepts is None else found.join(wanted, NODE, "left_semi")
 
     def row_groups(self) -> DataFrame:
-        """``(row_id, tid)``: the transaction group of each row, per range."""
+        """``(bucket_id, row_id, tid)``: the transaction group of each row, per range."""
         roots = self.roots.select("bucket_id", "node", "ext")
         rows = self.members.join(roots, "bucket_id").select(
-            "row_id", "node", F.array_intersect("items", "ext").alias("cand")
+            "bucket_id", "row_id", "node", F.array_intersect("items", "ext").alias("cand")
+        )
+        return rows.join(self.groups.select("node", "cand", "tid"), ["node", "cand"]).select(
+            "bucket_id", "row_id", "tid"
         )
-        return rows.join(self.groups.select("node", "cand", "tid"), ["node", "cand"]).select("row_id", "tid")
 
     def extents(self, concepts: DataFrame | None = None) -> DataFrame:
         """``(level, node, row_id)``: the rows of each concept, in long form."""
@@ -135,7 +137,7 @@ class ClosedSets:
     def with_row_sets(self, concepts: DataFrame | None = None) -> DataFrame:
         """Concepts with the :data:`ROW_SET` columns, from merged groups, not rows."""
         concepts = self.concepts if concepts is None else concepts
-        parts = self.occurrences(concepts).join(self.groups, "tid")
+        parts = self.occurrences(concepts).join(self.groups.drop("node"), "tid")
         found = parts.groupBy(*NODE).agg(*_merge_row_sets()[1:])
         return concepts.join(found, NODE)
 
@@ -200,14 +202,15 @@ def closed_itemsets(
 
     found = [nodes]
     steps = []
+    inner = (F.size("ext") > 0) & (F.size("cols") + F.size("ext") >= min_cols)
     for level in _levels(max_level):
-        nodes = stages.table(_children(occ, nodes, minsup, level), f"nodes-{level}")
+        children = _children(occ, nodes, minsup, level)
+        nodes, n_inner = stages.counted_table(children, f"nodes-{level}", inner)
         steps.append((occ, nodes))
         found.append(nodes)
-        inner = nodes.where((F.size("ext") > 0) & (F.size("cols") + F.size("ext") >= min_cols))
-        if inner.isEmpty():
+        if n_inner == 0:
             break
-        occ = stages.table(_descend(occ, inner), f"occ-{level}")
+        occ = stages.table(_descend(occ, nodes.where(inner)), f"occ-{level}")
 
     concepts = reduce(
         DataFrame.unionByName,

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,3 +46,12 @@ class Stages:
         """Write ``df`` and return the written table."""
         df.write.mode("error").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def counted_table(self, df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
+        """As :meth:`table`, with the number of records that meet a condition.
+
+        The count is observed while writing, so it costs no job of its own.
+        """
+        seen = Observation()
+        written = self.table(df.observe(seen, F.count_if(condition).alias("n")), name)
+        return written, seen.get["n"]

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -329,6 +330,32 @@ def _descend(occ: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def frequent_itemsets(trans: DataFrame, minsup: int) -> DataFrame:
+    """All frequent itemsets ``(bucket_id, cols, n_rows)``, closed or not, by FP-growth.
+
+    One model serves all ranges: items carry their range as a prefix, so no itemset
+    mixes ranges. The number of sets is exponential in the longest closed one; it
+    is the input of :func:`closed_filter` and a cross-check of
+    :func:`closed_itemsets`, which is the way to mine at scale.
+    """
+    from pyspark.ml.fpm import FPGrowth
+
+    tagged = F.transform("items", lambda i: F.concat_ws("|", F.col("bucket_id").cast("string"), i.cast("string")))
+    baskets = trans.select(tagged.alias("items")).persist(StorageLevel.DISK_ONLY)
+    n = baskets.count()
+    # FP-growth takes a share and rounds share * n up; the half keeps that at minsup.
+    sets = FPGrowth(itemsCol="items", minSupport=(minsup - 0.5) / max(n, 1)).fit(baskets).freqItemsets
+    types = dict(trans.dtypes)
+    item_type = types["items"][len("array<") : -1]
+    return sets.select(
+        F.substring_index(F.col("items")[0], "|", 1).cast(types["bucket_id"]).alias("bucket_id"),
+        F.sort_array(
+            F.transform("items", lambda i: F.regexp_extract(i, r"^[^|]*\|(.*)$", 1).cast(item_type))
+        ).alias("cols"),
+        F.col("freq").alias("n_rows"),
+    )
+
+
 def closed_filter(itemsets: DataFrame) -> DataFrame:
     """Of frequent itemsets ``(bucket_id, cols, n_rows)``, keep the closed ones.
 

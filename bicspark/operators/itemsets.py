@@ -195,7 +195,7 @@ def closed_itemsets(
         trans = trans.where(F.size("items") >= min_cols)
     members = stages.table(trans.select("bucket_id", "row_id", "items"), "members")
     roots = stages.table(_roots(members, minsup), "roots")
-    groups = stages.table(_groups(members, roots), "groups")
+    groups, n_occ = stages.counted_table(_groups(members, roots), "groups", F.lit(True))
     nodes = roots.select("node", "bucket_id", "cols", "n_rows", F.lit(0).alias("level"))
     occ = groups.select(
         "node", "tid", "weight", "cand", F.slice("cand", 1, 0).alias("pre")
@@ -205,13 +205,14 @@ def closed_itemsets(
     steps = []
     inner = (F.size("ext") > 0) & (F.size("cols") + F.size("ext") >= min_cols)
     for level in _levels(max_level):
-        children = _children(occ, nodes, minsup, level)
+        busy = stages.spread(occ, n_occ, "node", "tid")
+        children = _children(busy, nodes, minsup, level)
         nodes, n_inner = stages.counted_table(children, f"nodes-{level}", inner)
         steps.append((occ, nodes))
         found.append(nodes)
         if n_inner == 0:
             break
-        occ = stages.table(_descend(occ, nodes.where(inner)), f"occ-{level}")
+        occ, n_occ = stages.counted_table(_descend(busy, nodes.where(inner)), f"occ-{level}", F.lit(True))
 
     concepts = reduce(
         DataFrame.unionByName,
@@ -228,10 +229,10 @@ def _levels(max_level: int | None) -> Iterator[int]:
     raise RuntimeError(f"closed sets remain below level {max_level}: raise minsup, min_cols or max_level")
 
 
-def _split_counts(total: Column, counts: Column, minsup: int) -> tuple[Column, Column]:
-    """Items in all ``total`` rows (the closure), and the other frequent items."""
+def _split_counts(total: Column, counts: Column) -> tuple[Column, Column]:
+    """Of frequent items those in all ``total`` rows (the closure), and the others."""
     full = F.filter(counts, lambda c: c["n"] == total)
-    part = F.filter(counts, lambda c: (c["n"] < total) & (c["n"] >= minsup))
+    part = F.filter(counts, lambda c: c["n"] < total)
     return F.sort_array(full["item"]), F.sort_array(part["item"])
 
 
@@ -242,6 +243,7 @@ def _roots(members: DataFrame, minsup: int) -> DataFrame:
         members.select("bucket_id", F.explode(F.array_append("items", F.lit(None))).alias("item"))
         .groupBy("bucket_id", "item")
         .agg(F.count("*").alias("n"))
+        .where(F.col("n") >= minsup)
     )
     per_range = (
         item_counts.groupBy("bucket_id")
@@ -249,9 +251,8 @@ def _roots(members: DataFrame, minsup: int) -> DataFrame:
             F.max("n").alias("n_rows"),
             F.collect_list(F.when(F.col("item").isNotNull(), F.struct("item", "n"))).alias("counts"),
         )
-        .where(F.col("n_rows") >= minsup)
     )
-    closure, ext = _split_counts(F.col("n_rows"), F.col("counts"), minsup)
+    closure, ext = _split_counts(F.col("n_rows"), F.col("counts"))
     return per_range.select(
         F.monotonically_increasing_id().alias("node"),
         "bucket_id",
@@ -286,15 +287,16 @@ def _children(occ: DataFrame, parents: DataFrame, minsup: int, level: int) -> Da
         .select("parent", "item", "weight", F.explode("others").alias("other"))
         .groupBy("parent", "item", "other")
         .agg(F.sum("weight").alias("n"))
+        .where(F.col("n") >= minsup)
     )
     per_child = counts.groupBy("parent", "item").agg(
         F.max("n").alias("n_rows"),
         F.collect_list(F.struct(F.col("other").alias("item"), "n")).alias("counts"),
     )
-    closure, part = _split_counts(F.col("n_rows"), F.col("counts"), minsup)
+    closure, part = _split_counts(F.col("n_rows"), F.col("counts"))
     children = (
         per_child.select("parent", "item", "n_rows", closure.alias("closure"), part.alias("part"))
-        .where((F.col("n_rows") >= minsup) & (F.col("closure")[0] == F.col("item")))
+        .where(F.col("closure")[0] == F.col("item"))
     )
     named = parents.select(F.col("node").alias("parent"), "bucket_id", F.col("cols").alias("above"))
     item = F.col("item")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bicspark.functions.numeric import (
@@ -32,6 +32,34 @@ def triples(sorted_rows: DataFrame, width: int = 3) -> DataFrame:
     )
 
 
+def cell_triples(cells: DataFrame, width: int = 3) -> DataFrame:
+    """As :func:`triples`, straight from cells ``(row_id, col, value)``.
+
+    One shuffle on ``row_id``, then each cell looks ahead in its sorted row. Rows are
+    streamed, not gathered, and later groupings that include ``row_id`` reuse the
+    partitioning.
+    """
+    row = Window.partitionBy("row_id").orderBy("value", "col")
+    ahead = [F.lead(c, i).over(row).alias(f"{c}{i}") for i in range(1, width) for c in ("col", "value")]
+    runs = (
+        cells.where(F.col("value").isNotNull() & ~F.isnan("value"))
+        .select(
+            "row_id",
+            (F.row_number().over(row) - 1).alias("pos"),
+            F.col("col").alias("col0"),
+            F.col("value").alias("value0"),
+            *ahead,
+        )
+        .where(F.col(f"col{width - 1}").isNotNull())
+    )
+    return runs.select(
+        "row_id",
+        "pos",
+        F.array(*[F.col(f"col{i}") for i in range(width)]).alias("cols"),
+        F.array(*[F.col(f"value{i}") for i in range(width)]).alias("values"),
+    )
+
+
 def triple_stats(
     runs: DataFrame,
     width: int = 3,

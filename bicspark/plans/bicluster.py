@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from bicspark.operators import concepts as con
-from bicspark.operators.cells import sort_cells
 from bicspark.operators.grid import Grid, assign_bucket, default_grid, max_cv
 from bicspark.operators.itemsets import ClosedSets, closed_itemsets, transactions
-from bicspark.operators.triples import triple_stats, triples
+from bicspark.operators.triples import cell_triples, triple_stats, triples
 from bicspark.plans.stages import Stages
 
 
 def bucketed_triples(
-    sorted_rows: DataFrame,
+    matrix: DataFrame,
     grid: Grid | None = None,
     mode: str = "last",
     cv_limit: float | None = None,
@@ -22,15 +21,19 @@ def bucketed_triples(
     cv_of: str = "variance",
     exact_rounding: bool = False,
 ) -> DataFrame:
-    """Triples of sorted rows with their statistics and ``bucket_id``."""
+    """Triples with their statistics and ``bucket_id``.
+
+    ``matrix`` has cells ``(row_id, col, value)`` or sorted rows ``(row_id, cells)``.
+    """
+    runs = triples(matrix) if "cells" in matrix.columns else cell_triples(matrix)
     stats = triple_stats(
-        triples(sorted_rows), mean_method=mean_method, cv_of=cv_of, exact_rounding=exact_rounding
+        runs, mean_method=mean_method, cv_of=cv_of, exact_rounding=exact_rounding
     )
     return assign_bucket(max_cv(stats, cv_limit), grid or default_grid(), mode, drop_unmatched)
 
 
 def mine(
-    sorted_rows: DataFrame,
+    matrix: DataFrame,
     grid: Grid | None = None,
     minsup: int = 3,
     item: str = "col",
@@ -38,13 +41,13 @@ def mine(
     stages: Stages | None = None,
     **bucket_options,
 ) -> ClosedSets:
-    """Closed itemsets of the ranges of a matrix.
+    """Closed itemsets of the ranges of a matrix, given as cells or sorted rows.
 
     ``mining_min_cols`` prunes rows before the search. It leaves the sets of at
     least that many columns as they are, but smaller ones are no longer counted
     in ``n_sets`` and ``n_dup``.
     """
-    trans = transactions(bucketed_triples(sorted_rows, grid, **bucket_options), item)
+    trans = transactions(bucketed_triples(matrix, grid, **bucket_options), item)
     return closed_itemsets(trans, minsup, mining_min_cols, stages=stages)
 
 
@@ -63,6 +66,6 @@ def biclusters(
     Returns the closed sets, which lead to the rows, and the ranked concepts.
     """
     stages = stages or Stages(cells.sparkSession)
-    closed = mine(sort_cells(cells), grid, minsup, item, stages=stages, **bucket_options)
+    closed = mine(cells, grid, minsup, item, stages=stages, **bucket_options)
     numbered = con.number_row_sets(closed, stages=stages)
     return closed, con.rank_concepts(con.distinct_concepts(numbered), least_cols, limit)

@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+RECORDS_PER_TASK = 2_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -55,3 +57,15 @@ class Stages:
         seen = Observation()
         written = self.table(df.observe(seen, F.count_if(condition).alias("n")), name)
         return written, seen.get["n"]
+
+    def spread(self, table: DataFrame, n_records: int, *keys: str) -> DataFrame:
+        """Redistribute a table that has few splits for its number of records.
+
+        A small table is read by few tasks, however much work each record makes. A
+        table with enough splits stays as it is.
+        """
+        slots = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        tasks = min(slots, -(-n_records // RECORDS_PER_TASK))
+        if tasks <= 1 or table.rdd.getNumPartitions() >= tasks:
+            return table
+        return table.repartition(tasks, *keys)

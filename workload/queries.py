@@ -17,6 +17,7 @@ from bicspark.operators import predict as pre
 from bicspark.operators import similar as sim
 from bicspark.operators import triples as tri
 from bicspark.plans.bicluster import biclusters, bucketed_triples, mine
+from bicspark.plans.labels import predict_labels
 from bicspark.plans.stages import Stages
 from workload import matrices as mat
 
@@ -39,7 +40,7 @@ def joined(items: str) -> Column:
     return F.array_join(F.col(items).cast("array<string>"), ",").alias(items)
 
 
-def rows_of(name: str = "row_xor") -> list[str]:
+def rows_of() -> list[str]:
     return ["n_rows", "row_min", "row_max", "row_xor"]
 
 
@@ -48,7 +49,7 @@ def order_rows(spark, sf_dir):
 
 
 def order_triples(spark, sf_dir, **options):
-    return bucketed_triples(order_rows(spark, sf_dir), mat.ORDER_GRID, **options)
+    return bucketed_triples(mat.orders_by_line(spark, sf_dir), mat.ORDER_GRID, **options)
 
 
 def part_rows(spark, sf_dir):
@@ -56,7 +57,7 @@ def part_rows(spark, sf_dir):
 
 
 def part_sets(spark, sf_dir, **options):
-    return mine(part_rows(spark, sf_dir), mat.PART_GRID, mat.MINSUP, **options)
+    return mine(mat.parts_by_month(spark, sf_dir), mat.PART_GRID, mat.MINSUP, **options)
 
 
 def part_concepts(spark, sf_dir):
@@ -64,7 +65,7 @@ def part_concepts(spark, sf_dir):
 
 
 def valued_concepts(spark, sf_dir):
-    closed = mine(order_rows(spark, sf_dir), mat.ORDER_GRID, mat.MINSUP, item="col_value")
+    closed = mine(mat.orders_by_line(spark, sf_dir), mat.ORDER_GRID, mat.MINSUP, item="col_value")
     return con.distinct_concepts(con.number_row_sets(closed))
 
 
@@ -75,9 +76,7 @@ def vector_sets(spark, sf_dir):
 
 
 def vector_votes(closed, concepts, labels):
-    seeds = pre.seed_rows(closed, concepts, SEEDS)
-    votes = pre.label_votes(closed, pre.predictability(seeds, labels))
-    return pre.predict_rows(labels, pre.training_rows(seeds), votes)
+    return predict_labels(closed, concepts, labels, SEEDS)
 
 
 # Sources, cells and triples
@@ -128,7 +127,7 @@ def row_text(spark, sf_dir):
 
 @query
 def row_triples(spark, sf_dir):
-    runs = tri.triples(part_rows(spark, sf_dir))
+    runs = tri.cell_triples(mat.parts_by_month(spark, sf_dir))
     return runs.select("row_id", "pos", joined("cols"), joined("values"))
 
 
@@ -175,13 +174,13 @@ def per_range(found: DataFrame, grid: gr.Grid) -> DataFrame:
 @query
 def range_grid(spark, sf_dir):
     grid = gr.default_grid()
-    return per_range(bucketed_triples(part_rows(spark, sf_dir), grid), grid)
+    return per_range(bucketed_triples(mat.parts_by_month(spark, sf_dir), grid), grid)
 
 
 @query
 def range_grid_literal(spark, sf_dir):
     grid = gr.parse_grid(LITERAL_GRID)
-    return per_range(bucketed_triples(order_rows(spark, sf_dir), grid, mode="all"), grid)
+    return per_range(bucketed_triples(mat.orders_by_line(spark, sf_dir), grid, mode="all"), grid)
 
 
 @query
@@ -191,7 +190,7 @@ def bucket_last(spark, sf_dir):
 
 @query
 def bucket_last_unmatched(spark, sf_dir):
-    found = bucketed_triples(order_rows(spark, sf_dir), mat.ORDER_GRID_TO_60)
+    found = bucketed_triples(mat.orders_by_line(spark, sf_dir), mat.ORDER_GRID_TO_60)
     return found.select("row_id", "pos", gr.bucket_label("bucket_id", mat.ORDER_GRID_TO_60).alias("bucket"))
 
 
@@ -233,7 +232,7 @@ def frequent_tidsets(spark, sf_dir):
 
 @query
 def pair_support(spark, sf_dir):
-    trans = its.transactions(bucketed_triples(part_rows(spark, sf_dir), mat.PART_GRID))
+    trans = its.transactions(bucketed_triples(mat.parts_by_month(spark, sf_dir), mat.PART_GRID))
     return its.pair_support(trans, mat.MINSUP)
 
 
@@ -243,7 +242,7 @@ def shown(concepts: DataFrame) -> DataFrame:
 
 @query
 def closed_itemsets(spark, sf_dir):
-    return shown(mine(order_rows(spark, sf_dir), mat.ORDER_GRID, mat.MINSUP).concepts)
+    return shown(mine(mat.orders_by_line(spark, sf_dir), mat.ORDER_GRID, mat.MINSUP).concepts)
 
 
 @query
@@ -253,13 +252,12 @@ def closed_itemsets_by_month(spark, sf_dir):
 
 @query
 def closed_itemsets_twice(spark, sf_dir):
-    rows = cel.sort_cells(mat.orders_by_line_twice(spark, sf_dir))
-    return shown(mine(rows, mat.ORDER_GRID, mat.MINSUP).concepts)
+    return shown(mine(mat.orders_by_line_twice(spark, sf_dir), mat.ORDER_GRID, mat.MINSUP).concepts)
 
 
 @query
 def closed_itemsets_all_ranges(spark, sf_dir):
-    return shown(mine(order_rows(spark, sf_dir), mat.ORDER_GRID, mat.MINSUP, mode="all").concepts)
+    return shown(mine(mat.orders_by_line(spark, sf_dir), mat.ORDER_GRID, mat.MINSUP, mode="all").concepts)
 
 
 @query
@@ -269,8 +267,7 @@ def closed_itemsets_wide(spark, sf_dir):
 
 @query
 def closed_filter(spark, sf_dir):
-    rows = cel.sort_cells(mat.orders_by_line_twice(spark, sf_dir))
-    trans = its.transactions(bucketed_triples(rows, mat.ORDER_GRID))
+    trans = its.transactions(bucketed_triples(mat.orders_by_line_twice(spark, sf_dir), mat.ORDER_GRID))
     kept = its.closed_filter(its.frequent_itemsets(trans, mat.MINSUP))
     return kept.select("bucket_id", joined("cols"), F.size("cols").alias("n_cols"), "n_rows")
 
@@ -298,14 +295,14 @@ def concept_row_sets(spark, sf_dir):
 
 @query
 def distinct_concepts(spark, sf_dir):
-    closed = mine(order_rows(spark, sf_dir), mat.ORDER_GRID, mat.MINSUP, mode="all")
+    closed = mine(mat.orders_by_line(spark, sf_dir), mat.ORDER_GRID, mat.MINSUP, mode="all")
     found = con.distinct_concepts(con.number_row_sets(closed))
     return found.select(*rows_of(), joined("cols"), "n_cols", joined("bucket_ids"))
 
 
 @query
 def concepts_by_rows(spark, sf_dir):
-    closed = mine(order_rows(spark, sf_dir), mat.ORDER_GRID, mat.MINSUP, mode="all", item="col_value")
+    closed = mine(mat.orders_by_line(spark, sf_dir), mat.ORDER_GRID, mat.MINSUP, mode="all", item="col_value")
     found = con.group_by_rows(con.distinct_concepts(con.number_row_sets(closed)))
     sets = F.array_join(F.transform("col_sets", lambda s: F.array_join(s, " ")), ",")
     return found.select(*rows_of(), sets.alias("col_sets"), "n_sets")

@@ -15,8 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bicspark.functions.text import item_text
+from bicspark.operators.closure import ArraySteps, JoinSteps, item_counts
 from bicspark.plans.stages import Stages
 
+# Up to so many frequent items per range the search keeps them in arrays.
+ARRAY_ITEMS = 1_000
+
 NODE = ["level", "node"]
 # What tells two row sets apart without listing them: size, ends, the exclusive-or
 # of the ids and of two hashes of them. All of these merge over disjoint parts.
@@ -92,15 +96,15 @@ class ClosedSets:
     """Closed frequent itemsets with the tables that lead back to their rows.
 
     ``concepts``  (level, node, bucket_id, cols, n_cols, n_rows)
-    ``members``   (bucket_id, row_id, items) as mined
-    ``roots``     (bucket_id, node, n_rows, cols, ext): one record per range
+    ``roots``     (bucket_id, node, n_rows, cols): one record per range
+    ``cut``       (bucket_id, row_id, node, cand): transactions less their rare items
     ``groups``    (tid, node, cand, weight, row set parts): equal transactions merged
     ``steps``     per level below the root, (occurrences of its parents, its nodes)
     """
 
     concepts: DataFrame
-    members: DataFrame
     roots: DataFrame
+    cut: DataFrame
     groups: DataFrame
     steps: list[tuple[DataFrame, DataFrame]]
 
@@ -123,13 +127,8 @@ class ClosedSets:
 
     def row_groups(self) -> DataFrame:
         """``(bucket_id, row_id, tid)``: the transaction group of each row, per range."""
-        roots = self.roots.select("bucket_id", "node", "ext")
-        rows = self.members.join(roots, "bucket_id").select(
-            "bucket_id", "row_id", "node", F.array_intersect("items", "ext").alias("cand")
-        )
-        return rows.join(self.groups.select("node", "cand", "tid"), ["node", "cand"]).select(
-            "bucket_id", "row_id", "tid"
-        )
+        group = self.groups.select("node", "cand", "tid")
+        return self.cut.join(group, ["node", "cand"]).select("bucket_id", "row_id", "tid")
 
     def extents(self, concepts: DataFrame | None = None) -> DataFrame:
         """``(level, node, row_id)``: the rows of each concept, in long form."""
@@ -172,20 +171,18 @@ def closed_itemsets(
     min_cols: int = 1,
     max_level: int | None = None,
     stages: Stages | None = None,
+    array_items: int = ARRAY_ITEMS,
 ) -> ClosedSets:
     """All closed itemsets with at least ``minsup`` rows and ``min_cols`` items, per range.
 
-    Closure extension, level by level. A node is a closed set; its occurrences are
-    the transactions that hold it, cut down to the items that still matter. One
-    level is one weighted count of (node, extending item, item): items counted as
-    often as the extending one form the closure, and a child is kept if its closure
-    adds no item before the extending one, which makes each closed set arise once.
-
-    Equal transactions of a range are merged with a weight up front, counts combine
-    before they are shuffled, and no range, node or row set is ever gathered in one
-    place, so a hot range spreads over all tasks. Each level is written to a stage
-    table. ``max_level`` only guards against a run-away search: if sets remain
-    beyond it, the call fails rather than return a part of the result.
+    Closure extension, level by level (see :mod:`bicspark.operators.closure`). Equal
+    transactions of a range are merged with a weight up front, counts combine before
+    they are shuffled, and no range, node or row set is ever gathered in one place,
+    so a hot range spreads over all tasks. Each level is written to a stage table.
+
+    ``max_level`` only guards against a run-away search: if sets remain beyond it,
+    the call fails rather than return a part of the result. With more than
+    ``array_items`` frequent items in a range the steps work by joins, not arrays.
     """
     if minsup < 1:
         raise ValueError("minsup must be at least 1")
@@ -194,31 +191,40 @@ def closed_itemsets(
         # A row with fewer items in a range cannot belong to such a set.
         trans = trans.where(F.size("items") >= min_cols)
     members = stages.table(trans.select("bucket_id", "row_id", "items"), "members")
-    roots = stages.table(_roots(members, minsup), "roots")
-    groups, n_occ = stages.counted_table(_groups(members, roots), "groups", F.lit(True))
-    nodes = roots.select("node", "bucket_id", "cols", "n_rows", F.lit(0).alias("level"))
+    counts, n_items = stages.counted_table(item_counts(members, minsup), "counts-0", F.col("item").isNotNull())
+    wide = n_items > array_items and _most_items(counts) > array_items
+    steps = (JoinSteps if wide else ArraySteps)(counts, minsup, stages)
+    cut = steps.cut(members)
+    groups, n_occ = stages.counted_table(_groups(cut), "groups", F.lit(True))
+    nodes = steps.roots.select("node", "bucket_id", "cols", "n_rows", F.lit(0).alias("level"))
     occ = groups.select(
         "node", "tid", "weight", "cand", F.slice("cand", 1, 0).alias("pre")
     ).where(F.size("cand") > 0)
 
     found = [nodes]
-    steps = []
-    inner = (F.size("ext") > 0) & (F.size("cols") + F.size("ext") >= min_cols)
+    passed = []
+    inner = (F.col("n_ext") > 0) & (F.size("cols") + F.col("n_ext") >= min_cols)
     for level in _levels(max_level):
         busy = stages.spread(occ, n_occ, "node", "tid")
-        children = _children(busy, nodes, minsup, level)
+        children = steps.children(busy, nodes, level)
         nodes, n_inner = stages.counted_table(children, f"nodes-{level}", inner)
-        steps.append((occ, nodes))
+        passed.append((occ, nodes))
         found.append(nodes)
         if n_inner == 0:
             break
-        occ, n_occ = stages.counted_table(_descend(busy, nodes.where(inner)), f"occ-{level}", F.lit(True))
+        occ, n_occ = stages.counted_table(steps.descend(busy, nodes.where(inner)), f"occ-{level}", F.lit(True))
 
     concepts = reduce(
         DataFrame.unionByName,
         [t.select(*NODE, "bucket_id", "cols", F.size("cols").alias("n_cols"), "n_rows") for t in found],
     ).where(F.col("n_cols") >= max(min_cols, 1))
-    return ClosedSets(concepts, members, roots, groups, steps)
+    return ClosedSets(concepts, steps.roots, cut, groups, passed)
+
+
+def _most_items(counts: DataFrame) -> int:
+    """The number of frequent items of the range that has most."""
+    per_range = counts.groupBy("bucket_id").agg(F.count("item").alias("n"))
+    return per_range.agg(F.max("n")).first()[0] or 0
 
 
 def _levels(max_level: int | None) -> Iterator[int]:
@@ -229,109 +235,12 @@ def _levels(max_level: int | None) -> Iterator[int]:
     raise RuntimeError(f"closed sets remain below level {max_level}: raise minsup, min_cols or max_level")
 
 
-def _split_counts(total: Column, counts: Column) -> tuple[Column, Column]:
-    """Of frequent items those in all ``total`` rows (the closure), and the others."""
-    full = F.filter(counts, lambda c: c["n"] == total)
-    part = F.filter(counts, lambda c: c["n"] < total)
-    return F.sort_array(full["item"]), F.sort_array(part["item"])
-
-
-def _roots(members: DataFrame, minsup: int) -> DataFrame:
-    """One node per range: its row count, the items of all rows, the frequent rest."""
-    item_counts = (
-        # The null item stands for the transaction itself, so its count is the total.
-        members.select("bucket_id", F.explode(F.array_append("items", F.lit(None))).alias("item"))
-        .groupBy("bucket_id", "item")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= minsup)
-    )
-    per_range = (
-        item_counts.groupBy("bucket_id")
-        .agg(
-            F.max("n").alias("n_rows"),
-            F.collect_list(F.when(F.col("item").isNotNull(), F.struct("item", "n"))).alias("counts"),
-        )
-    )
-    closure, ext = _split_counts(F.col("n_rows"), F.col("counts"))
-    return per_range.select(
-        F.monotonically_increasing_id().alias("node"),
-        "bucket_id",
-        "n_rows",
-        closure.alias("cols"),
-        ext.alias("ext"),
-    )
-
-
-def _groups(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _groups(cut: DataFrame) -> DataFrame:
     """Merge the rows of a range that have equal frequent items."""
-    cut = members.join(roots.select("bucket_id", "node", "ext"), "bucket_id").select(
-        "node", F.array_intersect("items", "ext").alias("cand"), "row_id"
-    )
     merged = cut.groupBy("node", "cand").agg(*_row_set_parts())
     return merged.select(F.monotonically_increasing_id().alias("tid"), "*")
 
 
-def _children(occ: DataFrame, parents: DataFrame, minsup: int, level: int) -> DataFrame:
-    """The closed sets one extension below ``parents``.
-
-    ``item`` is the extending item, ``ext`` the items that may extend the child in
-    turn, ``pre`` the earlier items that must stay out of the closures below it.
-    """
-    counts = (
-        occ.select(
-            F.col("node").alias("parent"),
-            "weight",
-            F.explode("cand").alias("item"),
-            F.concat("cand", "pre").alias("others"),
-        )
-        .select("parent", "item", "weight", F.explode("others").alias("other"))
-        .groupBy("parent", "item", "other")
-        .agg(F.sum("weight").alias("n"))
-        .where(F.col("n") >= minsup)
-    )
-    per_child = counts.groupBy("parent", "item").agg(
-        F.max("n").alias("n_rows"),
-        F.collect_list(F.struct(F.col("other").alias("item"), "n")).alias("counts"),
-    )
-    closure, part = _split_counts(F.col("n_rows"), F.col("counts"))
-    children = (
-        per_child.select("parent", "item", "n_rows", closure.alias("closure"), part.alias("part"))
-        .where(F.col("closure")[0] == F.col("item"))
-    )
-    named = parents.select(F.col("node").alias("parent"), "bucket_id", F.col("cols").alias("above"))
-    item = F.col("item")
-    return children.join(named, "parent").select(
-        F.monotonically_increasing_id().alias("node"),
-        F.lit(level).alias("level"),
-        "parent",
-        "item",
-        "bucket_id",
-        "n_rows",
-        F.sort_array(F.concat("above", "closure")).alias("cols"),
-        F.filter("part", lambda i: i > item).alias("ext"),
-        F.filter("part", lambda i: i < item).alias("pre"),
-    )
-
-
-def _descend(occ: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Occurrences of the nodes that can be extended further."""
-    child = occ.select(
-        F.col("node").alias("parent"), "tid", "weight", "cand", "pre", F.explode("cand").alias("item")
-    )
-    keep = nodes.select("parent", "item", "node", "ext", F.col("pre").alias("before"))
-    return (
-        child.join(keep, ["parent", "item"])
-        .select(
-            "node",
-            "tid",
-            "weight",
-            F.array_intersect("cand", "ext").alias("cand"),
-            F.array_intersect(F.concat("cand", "pre"), "before").alias("pre"),
-        )
-        .where(F.size("cand") > 0)
-    )
-
-
 def frequent_itemsets(trans: DataFrame, minsup: int) -> DataFrame:
     """All frequent itemsets ``(bucket_id, cols, n_rows)``, closed or not, by FP-growth.
 

@@ -46,8 +46,9 @@ def set_of(trans):
 @pytest.mark.parametrize("seed,n_rows,n_cols,minsup,density", [(1, 12, 6, 1, 0.5), (2, 40, 7, 3, 0.6), (3, 25, 8, 2, 0.8)])
 def test_closed_itemsets_against_all_subsets(spark, seed, n_rows, n_cols, minsup, density):
     trans = random_transactions(seed, n_rows, n_cols, density=density)
-    closed = its.closed_itemsets(frame(spark, trans), minsup)
-    assert mined(closed) == brute.closed_sets(set_of(trans), minsup)
+    every = brute.closed_sets(set_of(trans), minsup)
+    assert mined(its.closed_itemsets(frame(spark, trans), minsup)) == every
+    assert mined(its.closed_itemsets(frame(spark, trans), minsup, array_items=3)) == every
 
 
 def test_min_cols_keeps_the_larger_sets_unchanged(spark):

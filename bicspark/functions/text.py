@@ -30,14 +30,12 @@ def item_text(col: Column, value: Column) -> Column:
     return F.concat(col.cast("string"), F.lit("#"), value.cast("string"))
 
 
-def concept_text(rows: Column, cols: Column, n_rows: Column, n_cols: Column) -> Column:
-    """``rows,cols % n_rows,n_cols`` with ids joined by spaces."""
+def concept_text(rows: Column, cols: Column, *counts: Column) -> Column:
+    """``rows,cols % n_rows,n_cols``, and more counts, with ids joined by spaces."""
     return F.concat(
         F.array_join(rows.cast("array<string>"), " "),
         F.lit(","),
         F.array_join(cols.cast("array<string>"), " "),
         F.lit(" % "),
-        n_rows.cast("string"),
-        F.lit(","),
-        n_cols.cast("string"),
+        F.concat_ws(",", *[n.cast("string") for n in counts]),
     )

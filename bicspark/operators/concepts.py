@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bicspark.operators.itemsets import NODE, ROW_SET, ClosedSets
+from bicspark.operators.itemsets import NODE, ROW_SET, ClosedSets, subsupport_items
 from bicspark.plans.stages import Stages
 
 # A row set's number is the (level, node) of one concept that has exactly these rows.
@@ -68,6 +68,44 @@ def distinct_concepts(numbered: DataFrame) -> DataFrame:
     ).select(*ROWS_ID, *ROW_SET, "cols", "n_cols", "bucket_ids", "at.level", "at.node")
 
 
+def subsupport_concepts(trans: DataFrame, minsup: int, stages: Stages | None = None) -> DataFrame:
+    """:func:`subsupport_items` over all ranges, in the shape of :func:`distinct_concepts`.
+
+    They have fewer than ``minsup`` rows, so they share no row set with a closed
+    itemset. Their level is -1, and ``rows`` lists their rows.
+    """
+    stages = stages or Stages(trans.sparkSession)
+    by_rows = subsupport_items(trans, minsup).groupBy("rows").agg(
+        F.collect_list(F.struct("bucket_id", "cols")).alias("found")
+    )
+    numbered = stages.table(by_rows.select(F.monotonically_increasing_id().alias("node"), "*"), "subsupport")
+
+    def xor(of) -> Column:
+        return F.aggregate(F.transform("rows", of), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+
+    return (
+        numbered.select("node", "rows", F.explode("found").alias("one"))
+        .groupBy("node", "rows", F.col("one.cols").alias("cols"))
+        .agg(F.sort_array(F.collect_set("one.bucket_id")).alias("bucket_ids"))
+        .select(
+            F.lit(-1).alias("rows_level"),
+            F.col("node").alias("rows_node"),
+            F.size("rows").cast("bigint").alias("n_rows"),
+            F.array_min("rows").alias("row_min"),
+            F.array_max("rows").alias("row_max"),
+            xor(lambda r: r).alias("row_xor"),
+            xor(lambda r: F.xxhash64(r)).alias("row_hash1"),
+            xor(lambda r: F.xxhash64(F.lit(1), r)).alias("row_hash2"),
+            "cols",
+            F.size("cols").alias("n_cols"),
+            "bucket_ids",
+            F.lit(-1).alias("level"),
+            "node",
+            "rows",
+        )
+    )
+
+
 def group_by_rows(distinct: DataFrame) -> DataFrame:
     """One record per row set with all its column sets, at most one per range."""
     return distinct.groupBy(*ROWS_ID).agg(
@@ -89,7 +127,7 @@ def longest_per_rows(distinct: DataFrame) -> DataFrame:
         F.min_by("cols", F.struct(-F.col("n_cols"), -text_length, "cols")).alias("cols"),
         F.max("n_cols").alias("n_cols"),
         F.count("*").alias("n_dup"),
-    )
+    ).select("*", F.col("rows_level").alias("level"), F.col("rows_node").alias("node"))
 
 
 def min_cols(concepts: DataFrame, least: int) -> DataFrame:

@@ -96,6 +96,7 @@ class ClosedSets:
     """Closed frequent itemsets with the tables that lead back to their rows.
 
     ``concepts``  (level, node, bucket_id, cols, n_cols, n_rows)
+    ``transactions``  (bucket_id, row_id, items) as mined
     ``roots``     (bucket_id, node, n_rows, cols): one record per range
     ``cut``       (bucket_id, row_id, node, cand): transactions less their rare items
     ``groups``    (tid, node, cand, weight, row set parts): equal transactions merged
@@ -103,6 +104,7 @@ class ClosedSets:
     """
 
     concepts: DataFrame
+    transactions: DataFrame
     roots: DataFrame
     cut: DataFrame
     groups: DataFrame
@@ -218,7 +220,7 @@ def closed_itemsets(
         DataFrame.unionByName,
         [t.select(*NODE, "bucket_id", "cols", F.size("cols").alias("n_cols"), "n_rows") for t in found],
     ).where(F.col("n_cols") >= max(min_cols, 1))
-    return ClosedSets(concepts, steps.roots, cut, groups, passed)
+    return ClosedSets(concepts, members, steps.roots, cut, groups, passed)
 
 
 def _most_items(counts: DataFrame) -> int:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from bicspark.operators import concepts as con
 from bicspark.operators.grid import Grid, assign_bucket, default_grid, max_cv
-from bicspark.operators.itemsets import ClosedSets, closed_itemsets, transactions
+from bicspark.operators.itemsets import ARRAY_ITEMS, ClosedSets, closed_itemsets, transactions
 from bicspark.operators.triples import cell_triples, triple_stats, triples
 from bicspark.plans.stages import Stages
 
@@ -38,6 +38,8 @@ def mine(
     minsup: int = 3,
     item: str = "col",
     mining_min_cols: int = 1,
+    max_level: int | None = None,
+    array_items: int = ARRAY_ITEMS,
     stages: Stages | None = None,
     **bucket_options,
 ) -> ClosedSets:
@@ -48,24 +50,30 @@ def mine(
     in ``n_sets`` and ``n_dup``.
     """
     trans = transactions(bucketed_triples(matrix, grid, **bucket_options), item)
-    return closed_itemsets(trans, minsup, mining_min_cols, stages=stages)
+    return closed_itemsets(trans, minsup, mining_min_cols, max_level, stages, array_items)
 
 
 def biclusters(
-    cells: DataFrame,
+    matrix: DataFrame,
     grid: Grid | None = None,
     minsup: int = 3,
     least_cols: int = 4,
     item: str = "col",
     limit: int | None = None,
+    include_subsupport: bool = False,
     stages: Stages | None = None,
-    **bucket_options,
+    **options,
 ) -> tuple[ClosedSets, DataFrame]:
-    """Mine cells ``(row_id, col, value)`` and rank the concepts over all ranges.
+    """Mine a matrix and rank its concepts over all ranges.
 
     Returns the closed sets, which lead to the rows, and the ranked concepts.
+    ``include_subsupport`` adds single items with fewer than ``minsup`` rows. The
+    other options are those of :func:`mine` and :func:`bucketed_triples`.
     """
-    stages = stages or Stages(cells.sparkSession)
-    closed = mine(cells, grid, minsup, item, stages=stages, **bucket_options)
-    numbered = con.number_row_sets(closed, stages=stages)
-    return closed, con.rank_concepts(con.distinct_concepts(numbered), least_cols, limit)
+    stages = stages or Stages(matrix.sparkSession)
+    closed = mine(matrix, grid, minsup, item, stages=stages, **options)
+    found = con.distinct_concepts(con.number_row_sets(closed, stages=stages))
+    if include_subsupport:
+        rare = con.subsupport_concepts(closed.transactions, minsup, stages)
+        found = found.unionByName(rare.drop("rows"))
+    return closed, con.rank_concepts(found, least_cols, limit)

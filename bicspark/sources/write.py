@@ -45,9 +45,11 @@ def concept_lines(closed: ClosedSets, concepts: DataFrame, per_line: int = 100_0
     """``rows,cols % n_rows,n_cols`` of concepts: ``(level, node, line, n_rows, n_cols, value)``.
 
     A concept with up to ``per_line`` rows is one line. A larger one has several,
-    each with some of the rows, and with the columns and counts of the whole.
+    each with some of the rows, and with the columns and counts of the whole. If the
+    concepts have ``n_dup``, it follows as a third count.
     """
-    shape = concepts.select(*NODE, "cols", "n_rows", "n_cols")
+    counts = ["n_rows", "n_cols", *(["n_dup"] if "n_dup" in concepts.columns else [])]
+    shape = concepts.select(*NODE, "cols", *counts)
     rows = (
         closed.extents(concepts)
         .join(shape.select(*NODE, "n_rows"), NODE)
@@ -55,7 +57,7 @@ def concept_lines(closed: ClosedSets, concepts: DataFrame, per_line: int = 100_0
         .groupBy(*NODE, "line")
         .agg(F.sort_array(F.collect_list("row_id")).alias("rows"))
     )
-    text = concept_text(F.col("rows"), F.col("cols"), F.col("n_rows"), F.col("n_cols"))
+    text = concept_text(F.col("rows"), F.col("cols"), *[F.col(c) for c in counts])
     return rows.join(shape, NODE).select(*NODE, "line", "n_rows", "n_cols", text.alias("value"))
 
 

@@ -133,6 +133,11 @@ LITERAL = "grid AS (SELECT * FROM (VALUES " + ", ".join(
 ) + ") t(bucket_id, lo, hi))"
 
 
+EVEN = """bucketed AS (
+  SELECT s.*, g.bucket_id
+  FROM (SELECT * FROM stats WHERE sqrt(variance7) / mean <= 0.25) s
+  JOIN grid g ON g.lo <= s.mean2 AND s.mean2 <= g.hi)"""
+
 # The default ranges, each start summed up in doubles from the one before. The ends
 # are rounded in decimal: DuckDB takes the double 0.67499... for a tie.
 DEFAULT = """starts AS (
@@ -289,6 +294,7 @@ GROUP BY 1, 2, 3 HAVING count(*) >= {MINSUP}""",
     + f" SELECT bucket_id, {COLS}, n_cols, n_rows FROM closed",
     "closed_itemsets_all_ranges": f"{ORDER_ALL},\n{ITEMS},\n{CLOSED} SELECT bucket_id, {COLS}, n_cols, n_rows FROM closed",
     "closed_itemsets_wide": f"{PART_CLOSED} SELECT bucket_id, {COLS}, n_cols, n_rows FROM closed WHERE n_cols >= 4",
+    "closed_itemsets_by_joins": f"{PART_CLOSED} SELECT bucket_id, {COLS}, n_cols, n_rows FROM closed",
     "closed_filter": chain(TWICE, TRIPLES, ORDER_GRID, LAST, ITEMS, CLOSED)
     + f" SELECT bucket_id, {COLS}, n_cols, n_rows FROM closed",
     "subsupport_items": f"""{ORDER_LAST},\n{VALUED_ITEMS}
@@ -319,6 +325,31 @@ WHERE list_contains([split_part(c, '#', 2)::DOUBLE for c in cols], 16.0)""",
     "ranked_concepts": RANKED,
     "top_concepts": f"""{RANKED}
 ORDER BY n_rows DESC, n_sets DESC, row_min, row_max, row_xor, ranked.cols LIMIT 20""",
+    "longest_text": f"""{VALUED_CONCEPTS}
+SELECT array_to_string(row_ids, ' ') || ',' || array_to_string(cols, ' ') || ' % ' || n_rows || ',' || n_cols
+  || ',' || n_dup AS value
+FROM (SELECT *, count(*) OVER (PARTITION BY row_ids) AS n_dup FROM concepts)
+QUALIFY row_number() OVER (PARTITION BY row_ids
+  ORDER BY n_cols DESC, length(array_to_string(cols, ' ')) DESC, cols) = 1""",
+    "concepts_with_subsupport": f"""{VALUED_CONCEPTS},
+rare AS (
+  SELECT row_ids, [min(item)] AS cols, 1 AS n_cols, len(row_ids) AS n_rows, bucket_id
+  FROM (SELECT bucket_id, item, list(row_id ORDER BY row_id) AS row_ids
+        FROM items GROUP BY 1, 2 HAVING count(*) < {MINSUP})
+  GROUP BY bucket_id, row_ids),
+every AS (
+  SELECT * FROM concepts
+  UNION ALL
+  SELECT row_ids, cols, any_value(n_cols), any_value(n_rows), list(bucket_id ORDER BY bucket_id)
+  FROM rare GROUP BY 1, 2)
+SELECT {ROWS}, {COLS}, n_cols, count(*) OVER (PARTITION BY row_ids) AS n_sets,
+       array_to_string(bucket_ids, ',') AS bucket_ids
+FROM every""",
+    "even_biclusters": f"""{chain(ORDERS, TRIPLES, LITERAL, EVEN, VALUED_ITEMS, closed_of(3), CONCEPTS)}
+SELECT {ROWS}, {COLS}, n_cols, n_dup
+FROM (SELECT *, count(*) OVER (PARTITION BY row_ids) AS n_dup FROM concepts WHERE n_cols >= 2)
+QUALIFY row_number() OVER (PARTITION BY row_ids
+  ORDER BY n_cols DESC, length(array_to_string(cols, ' ')) DESC, cols) = 1""",
     "bicluster_text": LINES,
     "prepared_roundtrip": chain(ORDERS, SORTED) + " SELECT * FROM sorted",
     "bucket_text_roundtrip": f"""{ORDER_LAST},\n{VALUED_ITEMS}
@@ -331,6 +362,9 @@ SELECT {ROWS}, {COLS}, n_seeds, predictable, label FROM judged JOIN concepts USI
     "predicted_rows": f"{VECTOR_SETS} SELECT * FROM predicted",
     "confusion_matrix": f"""{VECTOR_SETS}
 SELECT is_training, actual, predicted, count(*) AS n FROM predicted GROUP BY 1, 2, 3""",
+    "confusion_table": f"""{VECTOR_SETS}
+SELECT actual, {", ".join(f'count(*) FILTER (predicted = {i}) AS "{i}"' for i in range(10))}
+FROM predicted WHERE NOT is_training GROUP BY 1""",
     "similar_biclusters": chain(ORDERS, BLOCKS, BLOCK_CLOSED, similar("b_"))
     + f" SELECT {ROWS}, {COLS}, n_cols, value_min, value_max FROM b_similar",
     "combined_predictions": f"""{VECTOR_SETS},

@@ -265,6 +265,11 @@ def closed_itemsets_wide(spark, sf_dir):
     return shown(part_sets(spark, sf_dir, mining_min_cols=4).concepts)
 
 
+@query
+def closed_itemsets_by_joins(spark, sf_dir):
+    return shown(part_sets(spark, sf_dir, array_items=0).concepts)
+
+
 @query
 def closed_filter(spark, sf_dir):
     trans = its.transactions(bucketed_triples(mat.orders_by_line_twice(spark, sf_dir), mat.ORDER_GRID))
@@ -347,6 +352,43 @@ def bicluster_text(spark, sf_dir):
     return sources.concept_lines(closed, found).select("value")
 
 
+@query
+def longest_text(spark, sf_dir):
+    closed = mine(mat.orders_by_line(spark, sf_dir), mat.ORDER_GRID, mat.MINSUP, item="col_value")
+    found = con.longest_per_rows(con.distinct_concepts(con.number_row_sets(closed)))
+    return sources.concept_lines(closed, found).select("value")
+
+
+@query
+def concepts_with_subsupport(spark, sf_dir):
+    _, found = biclusters(
+        mat.orders_by_line(spark, sf_dir),
+        mat.ORDER_GRID,
+        mat.MINSUP,
+        least_cols=1,
+        item="col_value",
+        include_subsupport=True,
+    )
+    return found.select(*rows_of(), joined("cols"), "n_cols", "n_sets", joined("bucket_ids"))
+
+
+@query
+def even_biclusters(spark, sf_dir):
+    closed = mine(
+        mat.orders_by_line(spark, sf_dir),
+        gr.parse_grid(LITERAL_GRID),
+        3,
+        item="col_value",
+        mode="all",
+        cv_limit=0.25,
+        mean_method="sum",
+        cv_of="variance7",
+        exact_rounding=True,
+    )
+    found = con.min_cols(con.distinct_concepts(con.number_row_sets(closed)), 2)
+    return con.longest_per_rows(found).select(*rows_of(), joined("cols"), "n_cols", "n_dup")
+
+
 # Text sinks read back
 
 
@@ -406,6 +448,11 @@ def confusion_matrix(spark, sf_dir):
     return pre.confusion_matrix(predicted_rows(spark, sf_dir))
 
 
+@query
+def confusion_table(spark, sf_dir):
+    return pre.confusion_table(confusion_matrix(spark, sf_dir), list(range(10)))
+
+
 @query
 def similar_biclusters(spark, sf_dir):
     _, found = sim.similar_value_biclusters(mat.orders_by_line(spark, sf_dir), THETA, mat.MINSUP, 2)

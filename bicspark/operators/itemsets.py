@@ -10,8 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bicspark.functions.text import item_text
@@ -20,6 +19,8 @@ from bicspark.plans.stages import Stages
 
 # Up to so many frequent items per range the search keeps them in arrays.
 ARRAY_ITEMS = 1_000
+# Up to this place Spark drops lower ranks before the shuffle.
+RANK_LIMIT = 1_000
 
 NODE = ["level", "node"]
 # What tells two row sets apart without listing them: size, ends, the exclusive-or
@@ -109,23 +110,28 @@ class ClosedSets:
     cut: DataFrame
     groups: DataFrame
     steps: list[tuple[DataFrame, DataFrame]]
+    stages: Stages
 
     def occurrences(self, concepts: DataFrame | None = None) -> DataFrame:
-        """``(level, node, tid)``: the transaction groups of each concept."""
-        wanted = (self.concepts if concepts is None else concepts).select(*NODE).distinct()
-        parts = [
-            self.groups.join(
-                self.roots.where(F.size("cols") > 0).select("node"), "node", "left_semi"
-            ).select(F.lit(0).alias("level"), "node", "tid")
-        ]
-        for occ, nodes in self.steps:
+        """``(level, node, tid)``: the transaction groups of each concept.
+
+        Given concepts are written down first, as each level takes its own from them.
+        """
+        if concepts is not None:
+            wanted = self.stages.new_table(concepts.select(*NODE).distinct(), "wanted")
+
+        def own(nodes: DataFrame, level: int) -> DataFrame:
+            if concepts is None:
+                return nodes
+            return nodes.join(wanted.where(F.col("level") == level).select("node"), "node", "left_semi")
+
+        roots = own(self.roots.where(F.size("cols") > 0).select("node"), 0)
+        parts = [self.groups.join(roots, "node", "left_semi").select(F.lit(0).alias("level"), "node", "tid")]
+        for level, (occ, nodes) in enumerate(self.steps, start=1):
             child = occ.select(F.col("node").alias("parent"), "tid", F.explode("cand").alias("item"))
-            parts.append(
-                child.join(nodes.select("parent", "item", "level", "node"), ["parent", "item"])
-                .select("level", "node", "tid")
-            )
-        found = reduce(DataFrame.unionByName, parts)
-        return found if concepts is None else found.join(wanted, NODE, "left_semi")
+            found = child.join(own(nodes, level).select("parent", "item", "node"), ["parent", "item"])
+            parts.append(found.select(F.lit(level).alias("level"), "node", "tid"))
+        return reduce(DataFrame.unionByName, parts)
 
     def row_groups(self) -> DataFrame:
         """``(bucket_id, row_id, tid)``: the transaction group of each row, per range."""
@@ -138,10 +144,9 @@ class ClosedSets:
 
     def with_row_sets(self, concepts: DataFrame | None = None) -> DataFrame:
         """Concepts with the :data:`ROW_SET` columns, from merged groups, not rows."""
-        concepts = self.concepts if concepts is None else concepts
         parts = self.occurrences(concepts).join(self.groups.drop("node"), "tid")
         found = parts.groupBy(*NODE).agg(*_merge_row_sets()[1:])
-        return concepts.join(found, NODE)
+        return (self.concepts if concepts is None else concepts).join(found, NODE)
 
 
 def _row_set_parts() -> list[Column]:
@@ -220,7 +225,7 @@ def closed_itemsets(
         DataFrame.unionByName,
         [t.select(*NODE, "bucket_id", "cols", F.size("cols").alias("n_cols"), "n_rows") for t in found],
     ).where(F.col("n_cols") >= max(min_cols, 1))
-    return ClosedSets(concepts, members, steps.roots, cut, groups, passed)
+    return ClosedSets(concepts, members, steps.roots, cut, groups, passed, stages)
 
 
 def _most_items(counts: DataFrame) -> int:
@@ -254,8 +259,8 @@ def frequent_itemsets(trans: DataFrame, minsup: int) -> DataFrame:
     from pyspark.ml.fpm import FPGrowth
 
     tagged = F.transform("items", lambda i: F.concat_ws("|", F.col("bucket_id").cast("string"), i.cast("string")))
-    baskets = trans.select(tagged.alias("items")).persist(StorageLevel.DISK_ONLY)
-    n = baskets.count()
+    stages = Stages(trans.sparkSession)
+    baskets, n = stages.counted_table(trans.select(tagged.alias("items")), "baskets", F.lit(True))
     # FP-growth takes a share and rounds share * n up; the half keeps that at minsup.
     sets = FPGrowth(itemsCol="items", minSupport=(minsup - 0.5) / max(n, 1)).fit(baskets).freqItemsets
     types = dict(trans.dtypes)
@@ -292,15 +297,22 @@ def subsupport_items(trans: DataFrame, minsup: int) -> DataFrame:
     order stands for all. Rows are listed, as there are fewer than ``minsup``.
     """
     tidsets = item_tidsets(trans)
-    rare = (
-        tidsets.groupBy("bucket_id", "item")
-        .agg(F.count("*").alias("n_rows"))
-        .where(F.col("n_rows") < minsup)
-    )
+    if minsup <= RANK_LIMIT:
+        # An item is rare if it has no row at this place; the others stop there, and
+        # each task drops what lies beyond before the shuffle.
+        order = Window.partitionBy("bucket_id", "item").orderBy("row_id")
+        some = tidsets.withColumn("place", F.row_number().over(order)).where(F.col("place") <= minsup)
+    else:
+        rare = (
+            tidsets.groupBy("bucket_id", "item")
+            .agg(F.count("*").alias("n_rows"))
+            .where(F.col("n_rows") < minsup)
+        )
+        some = tidsets.join(rare.select("bucket_id", "item"), ["bucket_id", "item"], "left_semi")
     listed = (
-        tidsets.join(rare.select("bucket_id", "item"), ["bucket_id", "item"], "left_semi")
-        .groupBy("bucket_id", "item")
+        some.groupBy("bucket_id", "item")
         .agg(F.sort_array(F.collect_list("row_id")).alias("rows"))
+        .where(F.size("rows") < minsup)
     )
     return listed.groupBy("bucket_id", "rows").agg(
         F.array(F.min_by("item", F.col("item").cast("string"))).alias("cols"),

@@ -49,6 +49,10 @@ class Stages:
         df.write.mode("error").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def new_table(self, df: DataFrame, name: str) -> DataFrame:
+        """As :meth:`table`, under a name that is not taken."""
+        return self.table(df, f"{name}-{uuid.uuid4().hex}")
+
     def counted_table(self, df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
         """As :meth:`table`, with the number of records that meet a condition.
 

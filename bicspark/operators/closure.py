@@ -51,12 +51,14 @@ class ArraySteps:
     def children(self, occ: DataFrame, parents: DataFrame, level: int) -> DataFrame:
         per_child = pair_counts(occ, self.minsup).groupBy("parent", "item").agg(
             F.max("n").alias("n_rows"),
+            F.max("k").alias("n_occ"),
             F.collect_list(F.struct(F.col("other").alias("item"), "n")).alias("counts"),
         )
         split = per_child.select(
             "parent",
             "item",
             "n_rows",
+            "n_occ",
             _full("counts", "n_rows").alias("closure"),
             _part("counts", "n_rows").alias("part"),
         )
@@ -68,11 +70,11 @@ class ArraySteps:
         )
 
     def descend(self, occ: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Occurrences of ``nodes`` from those of their parents."""
+        """Occurrences of ``nodes`` from those of their parents, with ``n_occ``."""
         child = occ.select(
             F.col("node").alias("parent"), "tid", "weight", "cand", "pre", F.explode("cand").alias("item")
         )
-        keep = nodes.select("parent", "item", "node", "ext", F.col("pre").alias("before"))
+        keep = nodes.select("parent", "item", "node", "ext", F.col("pre").alias("before"), "n_occ")
         return (
             child.join(keep, ["parent", "item"])
             .select(
@@ -81,6 +83,7 @@ class ArraySteps:
                 "weight",
                 F.array_intersect("cand", "ext").alias("cand"),
                 F.array_intersect(F.concat("cand", "pre"), "before").alias("pre"),
+                "n_occ",
             )
             .where(F.size("cand") > 0)
         )
@@ -118,13 +121,16 @@ class JoinSteps:
 
     def children(self, occ: DataFrame, parents: DataFrame, level: int) -> DataFrame:
         self.counts = self.stages.table(pair_counts(occ, self.minsup), f"counts-{level}")
-        totals = self.counts.groupBy("parent", "item").agg(F.max("n").alias("n_rows"))
+        totals = self.counts.groupBy("parent", "item").agg(
+            F.max("n").alias("n_rows"), F.max("k").alias("n_occ")
+        )
         full = F.col("n") == F.col("n_rows")
         split = (
             self.counts.join(totals, ["parent", "item"])
             .groupBy("parent", "item")
             .agg(
                 F.first("n_rows").alias("n_rows"),
+                F.first("n_occ").alias("n_occ"),
                 F.sort_array(F.collect_list(F.when(full, F.col("other")))).alias("closure"),
                 F.count_if(~full & (F.col("other") > F.col("item"))).cast("int").alias("n_ext"),
             )
@@ -132,7 +138,7 @@ class JoinSteps:
         return name_children(split, parents, level, F.col("n_ext"))
 
     def descend(self, occ: DataFrame, nodes: DataFrame) -> DataFrame:
-        own = nodes.select("parent", "item", "node", "n_rows")
+        own = nodes.select("parent", "item", "node", "n_rows", "n_occ")
         keep = self.counts.join(own, ["parent", "item"]).where(F.col("n") < F.col("n_rows")).select("node", "other")
         item, other = F.col("item"), F.col("other")
         return (
@@ -144,11 +150,12 @@ class JoinSteps:
                 F.concat("cand", "pre").alias("others"),
             )
             .join(own.drop("n_rows"), ["parent", "item"])
-            .select("node", "tid", "weight", "item", F.explode("others").alias("other"))
+            .select("node", "tid", "weight", "n_occ", "item", F.explode("others").alias("other"))
             .join(keep, ["node", "other"], "left_semi")
             .groupBy("node", "tid")
             .agg(
                 F.first("weight").alias("weight"),
+                F.first("n_occ").alias("n_occ"),
                 F.sort_array(F.collect_list(F.when(other > item, other))).alias("cand"),
                 F.sort_array(F.collect_list(F.when(other < item, other))).alias("pre"),
             )
@@ -167,9 +174,9 @@ def item_counts(members: DataFrame, minsup: int) -> DataFrame:
 
 
 def pair_counts(occ: DataFrame, minsup: int) -> DataFrame:
-    """Weighted count of each (node, extending item, item); the rare are dropped.
+    """Count of each (node, extending item, item), ``n`` by weight and ``k`` of records.
 
-    Counts combine within each task before they are shuffled.
+    Counts combine within each task before they are shuffled; the rare are dropped.
     """
     return (
         occ.select(
@@ -180,7 +187,7 @@ def pair_counts(occ: DataFrame, minsup: int) -> DataFrame:
         )
         .select("parent", "item", "weight", F.explode("others").alias("other"))
         .groupBy("parent", "item", "other")
-        .agg(F.sum("weight").alias("n"))
+        .agg(F.sum("weight").alias("n"), F.count("*").alias("k"))
         .where(F.col("n") >= minsup)
     )
 
@@ -199,6 +206,7 @@ def name_children(split: DataFrame, parents: DataFrame, level: int, *more: Colum
         "item",
         "bucket_id",
         "n_rows",
+        "n_occ",
         F.sort_array(F.concat("above", "closure")).alias("cols"),
         *more,
     )

@@ -202,7 +202,7 @@ def closed_itemsets(
     wide = n_items > array_items and _most_items(counts) > array_items
     steps = (JoinSteps if wide else ArraySteps)(counts, minsup, stages)
     cut = steps.cut(members)
-    groups, n_occ = stages.counted_table(_groups(cut), "groups", F.lit(True))
+    groups, n_groups = stages.counted_table(_groups(cut), "groups", F.lit(True))
     nodes = steps.roots.select("node", "bucket_id", "cols", "n_rows", F.lit(0).alias("level"))
     occ = groups.select(
         "node", "tid", "weight", "cand", F.slice("cand", 1, 0).alias("pre")
@@ -211,15 +211,21 @@ def closed_itemsets(
     found = [nodes]
     passed = []
     inner = (F.col("n_ext") > 0) & (F.size("cols") + F.col("n_ext") >= min_cols)
+    busy = stages.spread(occ, n_groups, "tid")
     for level in _levels(max_level):
-        busy = stages.spread(occ, n_occ, "node", "tid")
-        children = steps.children(busy, nodes, level)
-        nodes, n_inner = stages.counted_table(children, f"nodes-{level}", inner)
+        nodes, seen = stages.observed_table(
+            steps.children(busy, nodes, level),
+            f"nodes-{level}",
+            n_inner=F.count_if(inner),
+            n_occ=F.sum(F.when(inner, F.col("n_occ"))),
+        )
         passed.append((occ, nodes))
         found.append(nodes)
-        if n_inner == 0:
+        if seen["n_inner"] == 0:
             break
-        occ, n_occ = stages.counted_table(steps.descend(busy, nodes.where(inner)), f"occ-{level}", F.lit(True))
+        # Together by node, so that counts combine in the task, but a hot node cut up.
+        below = stages.spread_by(steps.descend(busy, nodes.where(inner)), "node", "tid", "n_occ", seen["n_occ"])
+        occ = busy = stages.table(below, f"occ-{level}")
 
     concepts = reduce(
         DataFrame.unionByName,

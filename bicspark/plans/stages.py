@@ -53,14 +53,24 @@ class Stages:
         """As :meth:`table`, under a name that is not taken."""
         return self.table(df, f"{name}-{uuid.uuid4().hex}")
 
-    def counted_table(self, df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
-        """As :meth:`table`, with the number of records that meet a condition.
+    def observed_table(self, df: DataFrame, name: str, **values: Column) -> tuple[DataFrame, dict]:
+        """As :meth:`table`, with aggregates over the written records.
 
-        The count is observed while writing, so it costs no job of its own.
+        They are observed while writing, so they cost no job of their own.
         """
         seen = Observation()
-        written = self.table(df.observe(seen, F.count_if(condition).alias("n")), name)
-        return written, seen.get["n"]
+        written = self.table(df.observe(seen, *[v.alias(k) for k, v in values.items()]), name)
+        return written, seen.get
+
+    def counted_table(self, df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
+        """As :meth:`table`, with the number of records that meet a condition."""
+        written, seen = self.observed_table(df, name, n=F.count_if(condition))
+        return written, seen["n"]
+
+    def tasks(self, n_records: int) -> int:
+        """The number of tasks to spread so many records over."""
+        slots = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(1, min(slots, -(-n_records // RECORDS_PER_TASK)))
 
     def spread(self, table: DataFrame, n_records: int, *keys: str) -> DataFrame:
         """Redistribute a table that has few splits for its number of records.
@@ -68,8 +78,20 @@ class Stages:
         A small table is read by few tasks, however much work each record makes. A
         table with enough splits stays as it is.
         """
-        slots = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        tasks = min(slots, -(-n_records // RECORDS_PER_TASK))
-        if tasks <= 1 or table.rdd.getNumPartitions() >= tasks:
+        tasks = self.tasks(n_records)
+        if tasks == 1 or table.rdd.getNumPartitions() >= tasks:
             return table
         return table.repartition(tasks, *keys)
+
+    def spread_by(self, df: DataFrame, key: str, within: str, size: str, n_records: int) -> DataFrame:
+        """Bring records of one ``key`` together, but a large key over several tasks.
+
+        ``size`` is a column with the number of records of the key, and is dropped. A
+        key above a fair share is cut by a hash of ``within``.
+        """
+        tasks = self.tasks(n_records)
+        if tasks == 1:
+            return df.drop(size)
+        share = max(RECORDS_PER_TASK, n_records // tasks)
+        piece = F.pmod(F.xxhash64(within), F.floor(F.col(size) / share) + 1)
+        return df.withColumn("piece", piece).repartition(tasks, key, "piece").drop("piece", size)

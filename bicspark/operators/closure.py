@@ -48,7 +48,7 @@ class ArraySteps:
             "bucket_id", "row_id", "node", F.array_intersect("items", "ext").alias("cand")
         )
 
-    def children(self, occ: DataFrame, parents: DataFrame, level: int) -> DataFrame:
+    def children(self, occ: DataFrame, parents: DataFrame) -> DataFrame:
         per_child = pair_counts(occ, self.minsup).groupBy("parent", "item").agg(
             F.max("n").alias("n_rows"),
             F.max("k").alias("n_occ"),
@@ -66,7 +66,7 @@ class ArraySteps:
         later = F.filter("part", lambda i: i > item)
         earlier = F.filter("part", lambda i: i < item)
         return name_children(
-            split, parents, level, F.size(later).alias("n_ext"), later.alias("ext"), earlier.alias("pre")
+            split, parents, F.size(later).alias("n_ext"), later.alias("ext"), earlier.alias("pre")
         )
 
     def descend(self, occ: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -119,8 +119,8 @@ class JoinSteps:
         named = cand.join(self.roots.select("bucket_id", "node"), "bucket_id")
         return self.stages.table(named.select("bucket_id", "row_id", "node", "cand"), "cut")
 
-    def children(self, occ: DataFrame, parents: DataFrame, level: int) -> DataFrame:
-        self.counts = self.stages.table(pair_counts(occ, self.minsup), f"counts-{level}")
+    def children(self, occ: DataFrame, parents: DataFrame) -> DataFrame:
+        self.counts = self.stages.new_table(pair_counts(occ, self.minsup), "counts")
         totals = self.counts.groupBy("parent", "item").agg(
             F.max("n").alias("n_rows"), F.max("k").alias("n_occ")
         )
@@ -135,7 +135,7 @@ class JoinSteps:
                 F.count_if(~full & (F.col("other") > F.col("item"))).cast("int").alias("n_ext"),
             )
         )
-        return name_children(split, parents, level, F.col("n_ext"))
+        return name_children(split, parents, F.col("n_ext"))
 
     def descend(self, occ: DataFrame, nodes: DataFrame) -> DataFrame:
         own = nodes.select("parent", "item", "node", "n_rows", "n_occ")
@@ -192,16 +192,19 @@ def pair_counts(occ: DataFrame, minsup: int) -> DataFrame:
     )
 
 
-def name_children(split: DataFrame, parents: DataFrame, level: int, *more: Column) -> DataFrame:
+def name_children(split: DataFrame, parents: DataFrame, *more: Column) -> DataFrame:
     """Children whose closure adds no item before the extending one.
 
-    Each closed set has just one such parent and item, so it arises once.
+    Each closed set has just one such parent and item, so it arises once. The level is
+    counted up in the data, so that all levels run the same generated code.
     """
     proper = split.where(F.col("closure")[0] == F.col("item"))
-    named = parents.select(F.col("node").alias("parent"), "bucket_id", F.col("cols").alias("above"))
+    named = parents.select(
+        F.col("node").alias("parent"), "bucket_id", F.col("cols").alias("above"), F.col("level") + 1
+    ).toDF("parent", "bucket_id", "above", "level")
     return proper.join(named, "parent").select(
         F.monotonically_increasing_id().alias("node"),
-        F.lit(level).alias("level"),
+        "level",
         "parent",
         "item",
         "bucket_id",

@@ -129,8 +129,8 @@ class ClosedSets:
         parts = [self.groups.join(roots, "node", "left_semi").select(F.lit(0).alias("level"), "node", "tid")]
         for level, (occ, nodes) in enumerate(self.steps, start=1):
             child = occ.select(F.col("node").alias("parent"), "tid", F.explode("cand").alias("item"))
-            found = child.join(own(nodes, level).select("parent", "item", "node"), ["parent", "item"])
-            parts.append(found.select(F.lit(level).alias("level"), "node", "tid"))
+            found = child.join(own(nodes, level).select("parent", "item", "level", "node"), ["parent", "item"])
+            parts.append(found.select("level", "node", "tid"))
         return reduce(DataFrame.unionByName, parts)
 
     def row_groups(self) -> DataFrame:
@@ -214,7 +214,7 @@ def closed_itemsets(
     busy = stages.spread(occ, n_groups, "tid")
     for level in _levels(max_level):
         nodes, seen = stages.observed_table(
-            steps.children(busy, nodes, level),
+            steps.children(busy, nodes),
             f"nodes-{level}",
             n_inner=F.count_if(inner),
             n_occ=F.sum(F.when(inner, F.col("n_occ"))),

@@ -89,12 +89,12 @@ def matrix_cells(spark, sf_dir):
 
 @query
 def wide_matrix_cells(spark, sf_dir):
-    events = mat.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
+    suppliers = mat.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
         F.sum("l_quantity").alias("quantity"),
         F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("returns"),
         F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity"))).alias("open"),
     )
-    return cel.to_cells(events, "l_suppkey", columns=["quantity", "returns", "open"])
+    return cel.to_cells(suppliers, "l_suppkey", columns=["quantity", "returns", "open"])
 
 
 @query

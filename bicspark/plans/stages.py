@@ -7,7 +7,6 @@ a file size that lets the optimizer choose a broadcast by a checked size.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -17,21 +16,12 @@ RECORDS_PER_TASK = 2_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, or else the session's warehouse.
 
-    Only a local session, as in tests, may go without the setting; it gets a new
-    temporary folder, which the session then keeps.
+    Both are shared by the driver and all executors.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = spark.conf.get("spark.bicspark.localStages", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="bicspark-")
-        spark.conf.set("spark.bicspark.localStages", folder)
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return folder.rstrip("/")
 
 
 class Stages:
@@ -67,6 +57,18 @@ class Stages:
         written, seen = self.observed_table(df, name, n=F.count_if(condition))
         return written, seen["n"]
 
+    def drop(self, *names: str) -> None:
+        """Remove tables that no result reads any more; without a name, the whole folder."""
+        for path in [self.path(n) for n in names] or [self.folder]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __enter__(self) -> Stages:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.drop()
+
     def tasks(self, n_records: int) -> int:
         """The number of tasks to spread so many records over."""
         slots = int(self.spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bicspark.llm import mixing, sharding
+from bicspark.llm import gam, mixing, sharding, toxicity
 from bicspark.llm.common import read, ship_code
 from bicspark.llm.oracles import MIXING
 
@@ -46,3 +46,15 @@ def op4_sharding(spark, sf_dir):
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    """Every document with its toxicity score."""
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op10_quality(spark, sf_dir):
+    """Every document with its quality score."""
+    return gam.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bicspark.llm import gam, mixing, sharding, toxicity
+import public_tokenizers
+
+from bicspark.llm import gam, mixing, packing, sharding, tokenfile, toxicity
 from bicspark.llm.common import read, ship_code
 from bicspark.llm.oracles import MIXING
+from bicspark.plans.stages import Stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,6 +51,24 @@ def op4_sharding(spark, sf_dir):
     )
 
 
+@query
+def op5_packing(spark, sf_dir):
+    """Every document's pieces in sequences of at most 2048 tokens."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenised = packing.tokenise(read(spark, sf_dir, "documents"), path, end_id=1, spaces_kept=False)
+    return packing.digest(packing.pack(tokenised, 2048))
+
+
+@query
+def op8_token_file(spark, sf_dir):
+    """Every document as read back from the token files."""
+    folder = Stages(spark).path("blocks")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenfile.write_blocks(read(spark, sf_dir, "documents"), folder, path, end_id=0, vocabulary=50_257)
+    read_back = tokenfile.read_documents(spark, folder)
+    return read_back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op9_toxicity(spark, sf_dir):
     """Every document with its toxicity score."""

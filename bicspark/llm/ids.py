@@ -183,11 +183,13 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
     return np.insert(ids, np.cumsum(counts), end_id).astype(np.uint32), counts + 1
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that each holds about ``CHUNK_BYTES`` of text or one row."""
+def chunks(
+    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that each holds about ``limit`` bytes of text or one row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes) // CHUNK_BYTES
+        part = np.cumsum(sizes.astype(np.int64)) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from bicspark.llm import gam, mixing, packing, sharding, skipchain, tokenfile, toxicity
+from bicspark.llm import gam, jaccard, mixing, packing, sharding, skipchain, tokenfile, toxicity
 from bicspark.llm.common import read, ship_code
 from bicspark.llm.oracles import MIXING
 from bicspark.plans.stages import Stages
@@ -59,6 +59,12 @@ def op5_packing(spark, sf_dir):
     return packing.digest(packing.pack(tokenised, 2048))
 
 
+@query
+def op6_jaccard_join(spark, sf_dir):
+    """Every document with its group of documents alike."""
+    return jaccard.join(read(spark, sf_dir, "documents"), 75)
+
+
 @query
 def op7_personal_data(spark, sf_dir):
     """Every document with its personal data."""

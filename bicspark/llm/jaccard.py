@@ -488,6 +488,10 @@ def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     Of rows with one and the same ``doc_id`` one stays; rows without a ``doc_id`` stay.
     """
-    kept = join(docs, percent).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = Stages(docs.sparkSession).table(
+        join(docs, percent).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "kept"
+    )
+    once = docs.join(kept.where("n = 1"), "doc_id", "left_semi")
+    # Only rows that share their doc_id need the work of dropping all but one.
+    repeated = docs.join(kept.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(repeated).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from bicspark.llm import gam, jaccard, mixing, packing, sharding, skipchain, tokenfile, toxicity
+import corpus_pipeline
+
+from bicspark.llm import binarycodes, gam, jaccard, mixing, multiprobe, packing, sharding, skipchain, tokenfile, toxicity
 from bicspark.llm.common import read, ship_code
 from bicspark.llm.oracles import MIXING
 from bicspark.plans.stages import Stages
@@ -28,6 +30,19 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_near_duplicate_vectors(spark, sf_dir):
+    """Every vector with its links and its component at cosine 0.9."""
+    return binarycodes.near_duplicates(read(spark, sf_dir, "embeddings"), 0.9)
+
+
+@query
+def op2_nearest_neighbours(spark, sf_dir):
+    """The 20 nearest rows of every query, by inner product."""
+    table = read(spark, sf_dir, "embeddings")
+    return multiprobe.search(table, table.where("vec_id % 20 = 0"), 20)
+
+
 @query
 def op3_mixing(spark, sf_dir):
     """Every document with the words that the mix takes of it."""
@@ -91,3 +106,13 @@ def op9_toxicity(spark, sf_dir):
 def op10_quality(spark, sf_dir):
     """Every document with its quality score."""
     return gam.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    """The documents of the corpus pipeline, packed."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -12,10 +12,13 @@ many segments index the quiet ones of a choice: as tokens fall at random, like s
 in over a third of the segments, so that ``INDEXED`` of them all differ with a chance far
 below that of a hash collision. Small sets use prefixes of their tokens in hash order.
 
-Sets that share a signature are candidates. First every set is verified, exactly, against
-its most frequent partner, and verified links are merged into components. Only candidates
-from different components are left then; of these, pairs whose sizes and token histograms
-allow a link are verified too.
+Sets that share a signature are candidates. Of those with a signature, the anchor is the
+one that shares most signatures with others, as the original of many copies does. First
+every set is verified, exactly, against the anchor it meets most often, then, where a
+signature still has several components, against its other anchors. Of components that are
+then still apart, all candidates are verified. Before each round pairs go whose sizes and
+sketches allow no link: a sketch has the parity of the tokens in each of its places, so two
+of them differ in no more places than the sets differ in tokens.
 """
 
 from __future__ import annotations
@@ -40,12 +43,14 @@ INDEXED, CHOICE = 128, 512
 PREFIX_SEGMENTS, REPEATED_SEGMENTS, REPEATS = 8, 32, 3
 #: Signatures that one group of the index holds, about.
 GROUP = 1 << 20
-#: Buckets of the token histogram that bounds the difference of two sets from below.
-HISTOGRAM = 64
+#: Bits of a set's sketch for each of its tokens, before rounding up to a power of two.
+SKETCH = 8
 #: Most bits of the filter of wanted sets that goes to all tasks: 8 MB at any number of them.
 FILTER_BITS = 1 << 26
 #: Members of a signature that are compared at a time.
 BLOCK = 2048
+#: Records of signatures that one task compares: the more, the fewer pairs come twice.
+CELL = 1 << 18
 #: Bytes of text that are hashed at a time.
 TEXT = 4 << 20
 _CLASS = np.uint64((1 << 48) - 1)
@@ -155,27 +160,50 @@ def _chosen(tokens: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.
     return tokens[np.repeat(mask, counts)], counts[at]
 
 
+def sketches(tokens: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The parity of the tokens in each place, one binary value per set."""
+    places = np.maximum(64, SKETCH * 2 ** np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64))
+    starts = np.concatenate([[0], np.cumsum(places)])
+    odd = np.zeros(starts[-1], dtype=np.uint8)
+    at = (tokens & np.repeat(places - 1, counts).astype(np.uint64)).astype(np.int64) + np.repeat(starts[:-1], counts)
+    np.add.at(odd, at, 1)
+    data = np.packbits(odd & 1, bitorder="little")
+    return pa.BinaryArray.from_buffers(
+        pa.binary(), len(counts), [None, pa.py_buffer((starts // 8).astype(np.int32)), pa.py_buffer(data)]
+    )
+
+
+def level(stored: list[bytes]) -> np.ndarray:
+    """Sketches as rows of one length: the longer ones are folded, which keeps parities."""
+    rows = [np.frombuffer(b, "<u8") for b in stored]
+    shortest = min(map(len, rows))
+    return np.stack([np.bitwise_xor.reduce(r.reshape(-1, shortest), axis=0) for r in rows])
+
+
+def possible(size, sizes, sketch, others, percent) -> np.ndarray:
+    """Whether links are possible: sketches differ in at most as many places as sets may."""
+    least, most = np.minimum(size, sizes), np.maximum(size, sizes)
+    apart = np.bitwise_count(others ^ sketch).sum(axis=1, dtype=np.int64)
+    return (100 * least >= percent * most) & (apart * (100 + percent) <= (size + sizes) * (100 - percent))
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, class, histogram)`` of every row; class is null for empty sets."""
+    """``(doc_id, n_shingles, class, sketch)`` of every row; class is null for empty sets."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch, tokens, counts, ids in _texts(batches):
-            owner = np.repeat(np.arange(len(counts)), counts)
-            bucket = owner * HISTOGRAM + (tokens & np.uint64(HISTOGRAM - 1)).astype(np.int64)
-            histogram = np.minimum(np.bincount(bucket, minlength=len(counts) * HISTOGRAM), 255).astype(np.uint8)
-            offsets = (np.arange(len(counts) + 1) * HISTOGRAM).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(counts),
                     pa.array(ids.view(np.int64), mask=counts == 0),
-                    pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(histogram)]),
+                    sketches(tokens, counts),
                 ],
-                names=["doc_id", "n_shingles", "class", "histogram"],
+                names=["doc_id", "n_shingles", "class", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class long, histogram binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class long, sketch binary")
 
 
 def crowding(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -233,10 +261,10 @@ def allocate(rows: list, plan: Plan) -> Plan:
 
 
 def index(docs: DataFrame, plan: Plan, n_groups: int) -> DataFrame:
-    """``(signature, class, anchor)`` of all signatures that more than one class has.
+    """``(signature, class, members)`` of all signatures that more than one class has.
 
     Signatures travel as packed arrays, ten bytes each, by groups of about ``GROUP``. The
-    class is its lower 48 bits here; the anchor is the smallest class of a signature.
+    class is its lower 48 bits here; ``members`` is the number of classes of a signature.
     """
     bits = max(n_groups - 1, 0).bit_length()
 
@@ -284,11 +312,11 @@ def index(docs: DataFrame, plan: Plan, n_groups: int) -> DataFrame:
         first = np.flatnonzero(np.append(True, signature[1:] != signature[:-1]))[: len(signature)]
         sizes = np.diff(np.append(first, len(signature)))
         keep = np.repeat(sizes > 1, sizes)
-        anchor = np.repeat(owner[first], sizes)[keep]
-        return pa.table({"signature": (signature[keep] + (group << 32)), "class": owner[keep], "anchor": anchor})
+        members = np.repeat(sizes, sizes)[keep]
+        return pa.table({"signature": (signature[keep] + (group << 32)), "class": owner[keep], "members": members})
 
     packed = docs.select("text").mapInArrow(sign, "group long, packed binary")
-    return packed.groupBy("group").applyInArrow(collide, "signature long, class long, anchor long")
+    return packed.groupBy("group").applyInArrow(collide, "signature long, class long, members long")
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
@@ -363,68 +391,92 @@ def alike(r: np.ndarray, s: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(r) + len(s) - common)
 
 
-def open_pairs(postings: DataFrame, groups: DataFrame, classes: DataFrame, percent: int, stages: Stages) -> DataFrame:
-    """``(key, anchor)``: pairs that share a signature, lie in different components and may
-    be linked by their sizes and histograms.
-
-    ``groups`` has ``(key, component)`` of the classes linked so far.
-    """
-    placed = postings.join(groups, postings["class"] == groups["key"], "left").select(
-        "signature", "class", "anchor", F.coalesce("component", postings["class"]).alias("component")
+def anchored(postings: DataFrame) -> DataFrame:
+    """``(signature, class, anchor, members)``: the anchor is the signature's most shared class."""
+    weights = postings.groupBy("class").agg(F.sum("members").alias("weight"))
+    heads = postings.join(weights, "class").groupBy("signature").agg(
+        F.max_by("class", F.struct("weight", "class")).alias("anchor")
     )
+    return postings.join(heads, "signature").select("signature", "class", "anchor", "members")
+
+
+def apart(postings: DataFrame, groups: DataFrame) -> DataFrame:
+    """Postings with ``component`` and the anchor's, ``head``; ``groups`` has ``(key, component)``
+    of the classes linked so far."""
+    own = groups.select(F.col("key").alias("class"), "component")
     heads = groups.select(F.col("key").alias("anchor"), F.col("component").alias("head"))
-    placed = placed.join(heads, "anchor", "left").withColumn("head", F.coalesce("head", "anchor"))
-    placed = stages.table(placed.select("signature", "class", "component", "head"), "placed")
-    mixed = placed.groupBy("signature").agg(
-        F.max((F.col("component") != F.col("head")).cast("int")).alias("mixed"), F.count("*").alias("members")
-    ).where("mixed = 1")
+    return postings.join(own, "class", "left").join(heads, "anchor", "left").select(
+        "signature", "class", "anchor", "members",
+        F.coalesce("component", "class").alias("component"), F.coalesce("head", "anchor").alias("head"),
+    )
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs (key, anchor)`` whose sizes and sketches allow a link."""
+    one = classes.select("key", F.col("n_shingles").alias("n1"), F.col("sketch").alias("s1"))
+    two = classes.select(F.col("key").alias("anchor"), F.col("n_shingles").alias("n2"), F.col("sketch").alias("s2"))
+
+    def keep(batches):
+        for batch in batches:
+            found = []
+            for n1, n2, s1, s2 in zip(*(batch.column(c).to_pylist() for c in ("n1", "n2", "s1", "s2"))):
+                both = level([s1, s2])
+                found.append(bool(possible(n1, np.array([n2]), both[0], both[1:], percent)[0]))
+            yield batch.select(["key", "anchor"]).filter(pa.array(found, pa.bool_()))
+
+    both = pairs.join(one, "key").join(two, "anchor").select("key", "anchor", "n1", "n2", "s1", "s2")
+    return both.mapInArrow(keep, "key long, anchor long").distinct()
+
+
+def open_pairs(placed: DataFrame, n_placed: int, classes: DataFrame, percent: int) -> DataFrame:
+    """``(key, anchor)``: pairs that share a signature, lie in different components and may
+    be linked by their sizes and sketches. ``placed`` is :func:`apart`'s table."""
+    mixed = placed.where("component != head").select("signature").distinct()
     # Blocks of a crowded signature meet pair by pair.
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = placed.join(mixed, "signature").withColumn("blocks", blocks).withColumn(
+    rows = placed.join(mixed, "signature", "left_semi").withColumn("blocks", blocks).withColumn(
         "block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     )
-    rows = rows.join(classes.select(F.col("key").alias("class"), "n_shingles", "histogram"), "class")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("signature", "class", "component", "n_shingles", "histogram", "block", other)
-    rows = rows.select(
-        "signature", "class", "component", "n_shingles", "histogram", "block",
-        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-    ).withColumn("cell", F.xxhash64("signature", "low", "high") % F.lit(4096))
-    names = ["signature", "low", "high", "class", "component", "n_shingles", "histogram", "block"]
+    rows = rows.select("signature", "class", "component", "block", other).withColumn("low", F.least("block", "other"))
+    rows = rows.withColumn("high", F.greatest("block", "other"))
+    cell = F.pmod(F.xxhash64("signature", "low", "high"), F.lit(max(1, n_placed // CELL))).alias("cell")
+    # A class brings its sketch once to each cell, with its places there.
+    members = rows.groupBy(cell, "class").agg(
+        F.first("component").alias("component"), F.collect_list(F.struct("signature", "low", "high", "block")).alias("places")
+    )
+    members = members.join(classes.select(F.col("key").alias("class"), "n_shingles", "sketch"), "class")
 
     def meet(table: pa.Table) -> pa.Table:
-        signature, low, high, block = (table.column(c).to_numpy() for c in ("signature", "low", "high", "block"))
+        names, component, size = (table.column(c).to_numpy() for c in ("class", "component", "n_shingles"))
+        sketch = table.column("sketch").to_pylist()
+        lists = table.column("places").combine_chunks()
+        who = np.repeat(np.arange(len(names)), np.diff(lists.offsets.to_numpy()))
+        signature, low, high, block = (lists.flatten().field(c).to_numpy() for c in ("signature", "low", "high", "block"))
         order = np.lexsort((block, high, low, signature))
+        who, block = who[order], block[order]
         keys = np.stack([signature, low, high])[:, order]
         cuts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
-        classes_, component, size = (table.column(c).to_numpy()[order] for c in ("class", "component", "n_shingles"))
-        block = block[order]
-        histogram = np.frombuffer(b"".join(h.as_py() for h in table.column("histogram")), np.uint8).reshape(-1, HISTOGRAM)[order]
         found = []
         for first, last in zip(cuts, np.append(cuts[1:], len(order))):
-            inner = keys[1, first] == keys[2, first]
-            for i in range(first, last):
-                if not inner and block[i] != keys[1, first]:
-                    break
-                rest = np.arange(i + 1, last)
-                rest = rest[component[rest] != component[i]]
-                if not inner:
-                    rest = rest[block[rest] != block[i]]
+            own = who[first:last]
+            if (component[own] == component[own[0]]).all():
+                continue
+            inner, of = keys[1, first] == keys[2, first], block[first:last]
+            rows = level([sketch[k] for k in own])
+            for i in range(len(own) - 1 if inner else int((of == keys[1, first]).sum())):
+                rest = np.arange(i + 1, len(own))
+                apart_ = component[own[rest]] != component[own[i]]
+                rest = rest[apart_ if inner else apart_ & (of[rest] != of[i])]
                 if len(rest):
-                    rest = rest[possible(size[i], size[rest], histogram[i], histogram[rest], percent)]
-                    found += [(classes_[i], classes_[j]) for j in rest]
+                    rest = rest[possible(size[own[i]], size[own[rest]], rows[i], rows[rest], percent)]
+                    found += [(names[own[i]], names[own[j]]) for j in rest]
         pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
-        pairs = np.unique(np.stack([pairs.max(axis=1), pairs.min(axis=1)], axis=1), axis=0) if len(pairs) else pairs
+        if len(pairs):
+            pairs = np.unique(np.stack([pairs.max(axis=1), pairs.min(axis=1)], axis=1), axis=0)
         return pa.table({"key": pairs[:, 0], "anchor": pairs[:, 1]})
 
-    return rows.select("cell", *names).groupBy("cell").applyInArrow(meet, "key long, anchor long").distinct()
-
-
-def possible(size, sizes, histogram, histograms, percent) -> np.ndarray:
-    """Whether links are possible: the histograms' distance is at most the difference allowed."""
-    least, most = np.minimum(size, sizes), np.maximum(size, sizes)
-    apart = np.abs(histograms.astype(np.int16) - histogram.astype(np.int16)).sum(axis=1)
-    return (100 * least >= percent * most) & (apart * (100 + percent) <= (size + sizes) * (100 - percent))
+    return members.groupBy("cell").applyInArrow(meet, "key long, anchor long").distinct()
 
 
 def join(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -445,23 +497,33 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
         plan = Plan(percent, band_limits(seen["longest"]))
         plan = allocate(crowding(docs, plan).collect(), plan)  # bounded by bands
         n_groups = max(1, seen["total"] // GROUP)
-        postings = stages.table(index(docs, plan, n_groups), "postings")
-        shared = postings.where(F.col("class") != F.col("anchor")).groupBy("class", "anchor").agg(F.count("*").alias("n"))
-        first = stages.table(
-            shared.groupBy("class").agg(F.max_by("anchor", F.struct("n", -F.col("anchor"))).alias("anchor"))
-            .select(F.col("class").alias("key"), "anchor"),
-            "first",
+        shared = stages.table(index(docs, plan, n_groups), "shared")
+        postings = stages.table(anchored(shared), "postings")
+        classes = stages.table(
+            described.where(F.col("class").isNotNull()).groupBy(key, "class").agg(
+                F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
+            ).join(shared.select(F.col("class").alias("key")).distinct(), "key", "left_semi"),
+            "classes",
         )
-        found = stages.table(_verified(docs, first, percent, stages, "first-sets"), "links-1")
-        groups = stages.table(components(found, stages).select(F.col("id").bitwiseAND(F.lit(int(_CLASS))).alias("key"), F.col("component").bitwiseAND(F.lit(int(_CLASS))).alias("component")), "groups-1")
-        classes = described.where(F.col("class").isNotNull()).groupBy(key, "class").agg(
-            F.first("n_shingles").alias("n_shingles"), F.first("histogram").alias("histogram")
-        )
-        still = open_pairs(postings, groups, classes, percent, stages).join(first, ["key", "anchor"], "left_anti")
-        still = stages.table(still, "open")
-        more = stages.table(_verified(docs, still, percent, stages, "open-sets"), "links-2")
-        links = found.unionByName(more)
-        stages.drop("placed", "postings", "first-sets", "open-sets")
+        met = postings.where(F.col("class") != F.col("anchor")).groupBy("class", "anchor").agg(F.count("*").alias("n"))
+        best = F.max_by("anchor", F.struct("n", -F.col("anchor"))).alias("anchor")
+        pairs = met.groupBy("class").agg(best).select(F.col("class").alias("key"), "anchor")
+        pairs = stages.table(plausible(pairs, classes, percent), "pairs-0")
+        found = _verified(docs, pairs, percent, stages, "round-0")
+        for round_ in (1, 2):
+            placed, n_placed = _placed(postings, found, stages, f"placed-{round_}")
+            if round_ == 1:
+                more = placed.where("component != head").select(F.col("class").alias("key"), "anchor").distinct()
+                more = plausible(more.join(pairs, ["key", "anchor"], "left_anti"), classes, percent)
+            else:
+                known = pairs.unionByName(pairs.select(F.col("anchor").alias("key"), F.col("key").alias("anchor")))
+                more = open_pairs(placed, n_placed, classes, percent).join(known, ["key", "anchor"], "left_anti")
+            more = stages.table(more, f"pairs-{round_}")
+            found = found.unionByName(_verified(docs, more, percent, stages, f"round-{round_}"))
+            pairs = pairs.unionByName(more)
+            stages.drop(f"placed-{round_}")
+        links = found
+        stages.drop("shared", "postings")
     linked = stages.table(components(links, stages), "components")
     named = described.join(linked, described["class"] == linked["id"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "class").alias("component")
@@ -474,13 +536,30 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
 
 
+def _placed(postings: DataFrame, found: DataFrame, stages: Stages, name: str) -> tuple[DataFrame, int]:
+    """:func:`apart` for the links found so far, of signatures with several components."""
+    low = F.lit(int(_CLASS))
+    joined = components(found, stages).select(
+        F.col("id").bitwiseAND(low).alias("key"), F.col("component").bitwiseAND(low).alias("component")
+    )
+    every = stages.table(apart(postings, stages.table(joined, f"{name}-groups")), f"{name}-every")
+    mixed = every.where("component != head").select("signature").distinct()
+    placed, seen = stages.observed_table(every.join(mixed, "signature", "left_semi"), name, n=F.count("*"))
+    stages.drop(f"{name}-every")
+    return placed, seen["n"]
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int, stages: Stages, name: str) -> DataFrame:
+    """The links among the pairs, as a stage table."""
     wanted, seen = stages.observed_table(
         pairs.select("key").unionByName(pairs.select(F.col("anchor").alias("key"))).distinct(), f"{name}-wanted", n=F.count("*")
     )
     if not seen["n"]:
         return docs.sparkSession.createDataFrame([], "a long, b long")
-    return verify(pairs, stages.table(wanted_sets(docs, wanted, seen["n"]), name), percent)
+    sets = stages.table(wanted_sets(docs, wanted, seen["n"]), f"{name}-sets")
+    links = stages.table(verify(pairs, sets, percent), f"{name}-links")
+    stages.drop(f"{name}-wanted", f"{name}-sets")
+    return links
 
 
 def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are laid out at a time, to bound a task's memory.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 #: A space before other white space or the end of the text: such texts are not cut.
 _LOOSE_SPACE = r" [\s\pZ\x{1c}-\x{1f}\x{85}]| $"
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -29,7 +29,7 @@ _WORDS_SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+")
 #: Words that go to the model in one string, and words that a worker remembers.
 _TOGETHER = 500
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 
 
 @lru_cache(maxsize=2)

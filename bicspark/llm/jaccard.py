@@ -52,7 +52,7 @@ BLOCK = 2048
 #: Records of signatures that one task compares: the more, the fewer pairs come twice.
 CELL = 1 << 18
 #: Bytes of text that are hashed at a time.
-TEXT = 4 << 20
+TEXT = 1 << 20
 _CLASS = np.uint64((1 << 48) - 1)
 _SIGNS = 4
 

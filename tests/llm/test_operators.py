@@ -179,3 +179,12 @@ def test_nearest_neighbours(spark):
 def test_pipeline_stages_are_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "personal_data", "mixture", "packing"]
     assert len([q for q in QUERIES if q.startswith("op")]) == 10 and "pipeline" in QUERIES
+
+
+def test_nearest_of_many_equal_vectors(spark):
+    """Ties go to the smaller ids, however many rows are equal; repeated rows count once."""
+    rows = [(k, [1.0, 0.5, -0.25]) for k in range(200)] + [(7, [1.0, 0.5, -0.25])] * 3 + [(500, [-1.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = multiprobe.search(table, table.where("vec_id in (3, 100)"), 20).collect()
+    for q, ids in ((3, [0, 1, 2, *range(4, 21)]), (100, list(range(20)))):
+        assert [r["vec_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == ids

@@ -11,6 +11,9 @@ from bicspark.plans.stages import Stages
 # A row set's number is the (level, node) of one concept that has exactly these rows.
 ROWS_ID = ["rows_level", "rows_node"]
 
+#: The order of ranked concepts: rows and column sets descending, then the row set and the columns.
+RANKED = ["n_rows", "n_sets", "row_min", "row_max", "row_xor", "cols", "row_hash1", "row_hash2"]
+
 
 def number_row_sets(closed: ClosedSets, exact: bool = True, stages: Stages | None = None) -> DataFrame:
     """Concepts with their :data:`ROW_SET` columns and :data:`ROWS_ID`.
@@ -75,21 +78,18 @@ def subsupport_concepts(trans: DataFrame, minsup: int, stages: Stages | None = N
     itemset. Their level is -1, and ``rows`` lists their rows.
     """
     stages = stages or Stages(trans.sparkSession)
-    by_rows = subsupport_items(trans, minsup).groupBy("rows").agg(
-        F.collect_list(F.struct("bucket_id", "cols")).alias("found")
+    found = subsupport_items(trans, minsup).groupBy("rows", "cols").agg(
+        F.sort_array(F.collect_set("bucket_id")).alias("bucket_ids")
     )
-    numbered = stages.table(by_rows.select(F.monotonically_increasing_id().alias("node"), "*"), "subsupport")
+    numbered = stages.table(found.select(F.monotonically_increasing_id().alias("node"), "*"), "subsupport")
 
     def xor(of) -> Column:
         return F.aggregate(F.transform("rows", of), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
 
     return (
-        numbered.select("node", "rows", F.explode("found").alias("one"))
-        .groupBy("node", "rows", F.col("one.cols").alias("cols"))
-        .agg(F.sort_array(F.collect_set("one.bucket_id")).alias("bucket_ids"))
-        .select(
+        numbered.select(
             F.lit(-1).alias("rows_level"),
-            F.col("node").alias("rows_node"),
+            F.min("node").over(Window.partitionBy("rows")).alias("rows_node"),
             F.size("rows").cast("bigint").alias("n_rows"),
             F.array_min("rows").alias("row_min"),
             F.array_max("rows").alias("row_max"),
@@ -142,6 +142,11 @@ def having_value(concepts: DataFrame, value: float) -> DataFrame:
     )
 
 
+def rank_keys() -> list[Column]:
+    """What concepts are ordered by; the columns are :data:`RANKED`."""
+    return [F.desc(c) if c in ("n_rows", "n_sets") else F.asc(c) for c in RANKED]
+
+
 def rank_concepts(distinct: DataFrame, least_cols: int = 1, limit: int | None = None) -> DataFrame:
     """Order by rows, then by column sets of the row set, both descending.
 
@@ -152,8 +157,6 @@ def rank_concepts(distinct: DataFrame, least_cols: int = 1, limit: int | None =
     ranked = (
         distinct.withColumn("n_sets", F.count("*").over(Window.partitionBy(*ROWS_ID)))
         .where(F.col("n_cols") >= least_cols)
-        .orderBy(
-            F.desc("n_rows"), F.desc("n_sets"), "row_min", "row_max", "row_xor", "cols", "row_hash1", "row_hash2"
-        )
+        .orderBy(*rank_keys())
     )
     return ranked if limit is None else ranked.limit(limit)

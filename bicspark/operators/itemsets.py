@@ -116,9 +116,14 @@ class ClosedSets:
         """``(level, node, tid)``: the transaction groups of each concept.
 
         Given concepts are written down first, as each level takes its own from them.
+        Concepts that list their rows are in no group; without the list they fail.
         """
         if concepts is not None:
-            wanted = self.stages.new_table(concepts.select(*NODE).distinct(), "wanted")
+            level = F.col("level")
+            if "rows" in concepts.columns:
+                concepts = concepts.where(level >= 0)
+            known = F.when(level >= 0, level).otherwise(F.raise_error(F.lit("a concept without its rows")).cast("int"))
+            wanted = self.stages.new_table(concepts.select(known.alias("level"), "node").distinct(), "wanted")
 
         def own(nodes: DataFrame, level: int) -> DataFrame:
             if concepts is None:
@@ -140,7 +145,15 @@ class ClosedSets:
 
     def extents(self, concepts: DataFrame | None = None) -> DataFrame:
         """``(level, node, row_id)``: the rows of each concept, in long form."""
-        return self.occurrences(concepts).join(self.row_groups(), "tid").select(*NODE, "row_id")
+        found = self.occurrences(concepts).join(self.row_groups(), "tid").select(*NODE, "row_id")
+        listed = None if concepts is None else self.listed_rows(concepts)
+        return found if listed is None else found.unionByName(listed)
+
+    def listed_rows(self, concepts: DataFrame) -> DataFrame | None:
+        """``(level, node, row_id)`` of the concepts below the support, which list their rows."""
+        if "rows" not in concepts.columns:
+            return None
+        return concepts.where(F.col("level") < 0).select(*NODE, F.explode("rows").alias("row_id")).distinct()
 
     def with_row_sets(self, concepts: DataFrame | None = None) -> DataFrame:
         """Concepts with the :data:`ROW_SET` columns, from merged groups, not rows."""

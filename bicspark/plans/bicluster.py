@@ -67,7 +67,7 @@ def biclusters(
     """Mine a matrix and rank its concepts over all ranges.
 
     Returns the closed sets, which lead to the rows, and the ranked concepts.
-    ``include_subsupport`` adds single items with fewer than ``minsup`` rows. The
+    ``include_subsupport`` adds single items with fewer than ``minsup`` rows, listed in ``rows``. The
     other options are those of :func:`mine` and :func:`bucketed_triples`.
     """
     stages = stages or Stages(matrix.sparkSession)
@@ -75,5 +75,5 @@ def biclusters(
     found = con.distinct_concepts(con.number_row_sets(closed, stages=stages))
     if include_subsupport:
         rare = con.subsupport_concepts(closed.transactions, minsup, stages)
-        found = found.unionByName(rare.drop("rows"))
+        found = found.unionByName(rare, allowMissingColumns=True)
     return closed, con.rank_concepts(found, least_cols, limit)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bicspark.functions.text import cells_text, concept_text, triple_text
+from bicspark.operators.concepts import RANKED, rank_keys
 from bicspark.operators.itemsets import NODE, ClosedSets
 
 
@@ -46,10 +47,12 @@ def concept_lines(closed: ClosedSets, concepts: DataFrame, per_line: int = 100_0
 
     A concept with up to ``per_line`` rows is one line. A larger one has several,
     each with some of the rows, and with the columns and counts of the whole. If the
-    concepts have ``n_dup``, it follows as a third count.
+    concepts have ``n_dup``, it follows as a third count. Ranked concepts keep the
+    columns that they are ranked by.
     """
+    ranked = [c for c in RANKED if c not in ("n_rows", "cols")] if set(RANKED) <= set(concepts.columns) else []
     counts = ["n_rows", "n_cols", *(["n_dup"] if "n_dup" in concepts.columns else [])]
-    shape = concepts.select(*NODE, "cols", *counts)
+    shape = concepts.select(*NODE, "cols", *counts, *ranked)
     rows = (
         closed.extents(concepts)
         .join(shape.select(*NODE, "n_rows"), NODE)
@@ -58,7 +61,9 @@ def concept_lines(closed: ClosedSets, concepts: DataFrame, per_line: int = 100_0
         .agg(F.sort_array(F.collect_list("row_id")).alias("rows"))
     )
     text = concept_text(F.col("rows"), F.col("cols"), *[F.col(c) for c in counts])
-    return rows.join(shape, NODE).select(*NODE, "line", "n_rows", "n_cols", text.alias("value"))
+    return rows.join(shape, NODE).select(
+        *NODE, "line", "n_rows", "n_cols", text.alias("value"), *ranked, *(["cols"] if ranked else [])
+    )
 
 
 def _line(n: str, per_line: int, key: Column) -> Column:
@@ -68,11 +73,20 @@ def _line(n: str, per_line: int, key: Column) -> Column:
 def write_concepts(concepts: DataFrame, path: str, format: str = "parquet", files: int | None = None) -> None:
     """Write a concept table, or with ``format='text'`` its ``value`` lines.
 
-    ``files=1`` puts all into one file, for results known to be small.
+    Lines of ranked concepts are sorted by rank as the last step, over the files in
+    turn. ``files`` sets their number by a shuffle, so that only the write is narrow.
     """
-    out = concepts.select("value") if format == "text" else concepts
-    out = out if files is None else out.coalesce(files)
-    out.write.mode("error").format(format).save(path)
+    lines = format == "text"
+    if lines and {*RANKED, "line"} <= set(concepts.columns):
+        keys = [*rank_keys(), F.asc("line")]
+        out = (
+            concepts.orderBy(*keys)
+            if files is None
+            else concepts.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
+        )
+    else:
+        out = concepts if files is None else concepts.repartition(files)
+    (out.select("value") if lines else out).write.mode("error").format(format).save(path)
 
 
 def write_stage(df: DataFrame, folder: str, stage: str, format: str = "parquet", files: int | None = None) -> DataFrame:

@@ -92,6 +92,22 @@ def test_concept_lines_hold_every_row_once(spark, tmp_path, cells):
     assert spark.read.parquet(str(tmp_path / "table")).count() == len(whole)
 
 
+def test_lines_are_written_by_rank_and_hold_rare_concepts(spark, tmp_path, cells):
+    grid = gr.range_grid(0, 12, 3, 0.5)
+    closed, ranked = biclusters(cells.where("row_id < 9"), grid, minsup=5, item="col_value", least_cols=1, include_subsupport=True)
+    wanted = [(r.n_rows, r.n_cols) for r in ranked.collect()]
+    assert ranked.where("level = -1").count() > 0
+    for files in (1, None):
+        path = str(tmp_path / f"ranked-{files}")
+        sources.write_concepts(sources.concept_lines(closed, ranked), path, "text", files=files)
+        parts = sorted((tmp_path / f"ranked-{files}").glob("part-*"))
+        lines = [line for p in parts for line in p.read_text().splitlines()]
+        assert [tuple(map(int, line.split(" % ")[1].split(","))) for line in lines] == wanted
+        assert all(len(line.split(",")[0].split()) == n for line, (n, _) in zip(lines, wanted, strict=True))
+    with pytest.raises(Exception, match="without its rows"):
+        closed.extents(ranked.drop("rows")).collect()
+
+
 def test_stages_use_the_shared_folder_of_the_session(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert shared_folder(spark) == folder

@@ -363,7 +363,8 @@ SELECT {ROWS}, {COLS}, n_seeds, predictable, label FROM judged JOIN concepts USI
     "confusion_matrix": f"""{VECTOR_SETS}
 SELECT is_training, actual, predicted, count(*) AS n FROM predicted GROUP BY 1, 2, 3""",
     "confusion_table": f"""{VECTOR_SETS}
-SELECT actual, {", ".join(f'count(*) FILTER (predicted = {i}) AS "{i}"' for i in range(10))}
+SELECT actual, {", ".join(f'count(*) FILTER (predicted = {i}) AS "{i}"' for i in range(10))},
+  count(*) FILTER (predicted IS NULL) AS "none"
 FROM predicted WHERE NOT is_training GROUP BY 1""",
     "similar_biclusters": chain(ORDERS, BLOCKS, BLOCK_CLOSED, similar("b_"))
     + f" SELECT {ROWS}, {COLS}, n_cols, value_min, value_max FROM b_similar",

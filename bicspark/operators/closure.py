@@ -176,20 +176,28 @@ def item_counts(members: DataFrame, minsup: int) -> DataFrame:
 def pair_counts(occ: DataFrame, minsup: int) -> DataFrame:
     """Count of each (node, extending item, item), ``n`` by weight and ``k`` of records.
 
-    Counts combine within each task before they are shuffled; the rare are dropped.
+    Counts combine within each task before they are shuffled; the rare are dropped. Two
+    extending items are counted once, the smaller first, and mirrored after that. Arrays
+    are sorted, and items to stay out come before those that may extend.
     """
-    return (
-        occ.select(
-            F.col("node").alias("parent"),
+    halves = (
+        occ.select(F.col("node").alias("parent"), "weight", "cand", "pre", F.posexplode("cand").alias("at", "item"))
+        .select(
+            "parent",
             "weight",
-            F.explode("cand").alias("item"),
-            F.concat("cand", "pre").alias("others"),
+            "item",
+            F.explode(F.concat(F.slice("cand", F.col("at") + 1, F.size("cand")), "pre")).alias("other"),
         )
-        .select("parent", "item", "weight", F.explode("others").alias("other"))
         .groupBy("parent", "item", "other")
         .agg(F.sum("weight").alias("n"), F.count("*").alias("k"))
         .where(F.col("n") >= minsup)
     )
+    one = F.struct("item", "other")
+    two = F.struct(F.col("other").alias("item"), F.col("item").alias("other"))
+    both = F.when(F.col("other") > F.col("item"), F.array(one, two)).otherwise(F.array(one))
+    return halves.select("parent", F.explode(both).alias("pair"), "n", "k").select(
+        "parent", "pair.item", "pair.other", "n", "k"
+    )
 
 
 def name_children(split: DataFrame, parents: DataFrame, *more: Column) -> DataFrame:

@@ -10,18 +10,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bicspark.functions.text import item_text
 from bicspark.operators.closure import ArraySteps, JoinSteps, item_counts
 from bicspark.plans.stages import Stages
 
-# Up to so many frequent items per range the search keeps them in arrays.
-ARRAY_ITEMS = 1_000
-# Up to this place Spark drops lower ranks before the shuffle.
-RANK_LIMIT = 1_000
-
 NODE = ["level", "node"]
 # What tells two row sets apart without listing them: size, ends, the exclusive-or
 # of the ids and of two hashes of them. All of these merge over disjoint parts.
@@ -191,7 +186,7 @@ def closed_itemsets(
     min_cols: int = 1,
     max_level: int | None = None,
     stages: Stages | None = None,
-    array_items: int = ARRAY_ITEMS,
+    by_joins: bool | None = None,
 ) -> ClosedSets:
     """All closed itemsets with at least ``minsup`` rows and ``min_cols`` items, per range.
 
@@ -201,8 +196,9 @@ def closed_itemsets(
     so a hot range spreads over all tasks. Each level is written to a stage table.
 
     ``max_level`` only guards against a run-away search: if sets remain beyond it,
-    the call fails rather than return a part of the result. With more than
-    ``array_items`` frequent items in a range the steps work by joins, not arrays.
+    the call fails rather than return a part of the result. Items that are columns are
+    limited by the width of the matrix, so the steps keep them in arrays; ``col#value``
+    items have no such limit and go by joins. ``by_joins`` sets this for any items.
     """
     if minsup < 1:
         raise ValueError("minsup must be at least 1")
@@ -211,9 +207,10 @@ def closed_itemsets(
         # A row with fewer items in a range cannot belong to such a set.
         trans = trans.where(F.size("items") >= min_cols)
     members = stages.table(trans.select("bucket_id", "row_id", "items"), "members")
-    counts, n_items = stages.counted_table(item_counts(members, minsup), "counts-0", F.col("item").isNotNull())
-    wide = n_items > array_items and _most_items(counts) > array_items
-    steps = (JoinSteps if wide else ArraySteps)(counts, minsup, stages)
+    counts = stages.table(item_counts(members, minsup), "counts-0")
+    if by_joins is None:
+        by_joins = dict(trans.dtypes)["items"] == "array<string>"
+    steps = (JoinSteps if by_joins else ArraySteps)(counts, minsup, stages)
     cut = steps.cut(members)
     groups, n_groups = stages.counted_table(_groups(cut), "groups", F.lit(True))
     nodes = steps.roots.select("node", "bucket_id", "cols", "n_rows", F.lit(0).alias("level"))
@@ -247,12 +244,6 @@ def closed_itemsets(
     return ClosedSets(concepts, members, steps.roots, cut, groups, passed, stages)
 
 
-def _most_items(counts: DataFrame) -> int:
-    """The number of frequent items of the range that has most."""
-    per_range = counts.groupBy("bucket_id").agg(F.count("item").alias("n"))
-    return per_range.agg(F.max("n")).first()[0] or 0
-
-
 def _levels(max_level: int | None) -> Iterator[int]:
     level = 1
     while max_level is None or level <= max_level:
@@ -316,22 +307,11 @@ def subsupport_items(trans: DataFrame, minsup: int) -> DataFrame:
     order stands for all. Rows are listed, as there are fewer than ``minsup``.
     """
     tidsets = item_tidsets(trans)
-    if minsup <= RANK_LIMIT:
-        # An item is rare if it has no row at this place; the others stop there, and
-        # each task drops what lies beyond before the shuffle.
-        order = Window.partitionBy("bucket_id", "item").orderBy("row_id")
-        some = tidsets.withColumn("place", F.row_number().over(order)).where(F.col("place") <= minsup)
-    else:
-        rare = (
-            tidsets.groupBy("bucket_id", "item")
-            .agg(F.count("*").alias("n_rows"))
-            .where(F.col("n_rows") < minsup)
-        )
-        some = tidsets.join(rare.select("bucket_id", "item"), ["bucket_id", "item"], "left_semi")
+    rare = tidsets.groupBy("bucket_id", "item").agg(F.count("*").alias("n")).where(F.col("n") < minsup)
     listed = (
-        some.groupBy("bucket_id", "item")
+        tidsets.join(rare.select("bucket_id", "item"), ["bucket_id", "item"], "left_semi")
+        .groupBy("bucket_id", "item")
         .agg(F.sort_array(F.collect_list("row_id")).alias("rows"))
-        .where(F.size("rows") < minsup)
     )
     return listed.groupBy("bucket_id", "rows").agg(
         F.array(F.min_by("item", F.col("item").cast("string"))).alias("cols"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from bicspark.operators import concepts as con
 from bicspark.operators.grid import Grid, assign_bucket, default_grid, max_cv
-from bicspark.operators.itemsets import ARRAY_ITEMS, ClosedSets, closed_itemsets, transactions
+from bicspark.operators.itemsets import ClosedSets, closed_itemsets, transactions
 from bicspark.operators.triples import cell_triples, triple_stats, triples
 from bicspark.plans.stages import Stages
 
@@ -39,7 +39,7 @@ def mine(
     item: str = "col",
     mining_min_cols: int = 1,
     max_level: int | None = None,
-    array_items: int = ARRAY_ITEMS,
+    by_joins: bool | None = None,
     stages: Stages | None = None,
     **bucket_options,
 ) -> ClosedSets:
@@ -50,7 +50,7 @@ def mine(
     in ``n_sets`` and ``n_dup``.
     """
     trans = transactions(bucketed_triples(matrix, grid, **bucket_options), item)
-    return closed_itemsets(trans, minsup, mining_min_cols, max_level, stages, array_items)
+    return closed_itemsets(trans, minsup, mining_min_cols, max_level, stages, by_joins)
 
 
 def biclusters(

@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bicspark.plans.stages import Stages
+
 CELL = "struct<value:double,col:int>"
 
 
+def number(text: Column | str, kind: str = "double") -> Column:
+    """Text as a number. Any other text fails the job, whatever the session's ANSI setting."""
+    text = F.col(text) if isinstance(text, str) else text
+    bad = F.raise_error(F.concat(F.lit("not a number: "), F.coalesce(text, F.lit("(nothing)")))).cast(kind)
+    return F.coalesce(text.try_cast(kind), bad)
+
+
 def read_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """One matrix row per line: ``(row_id, values)``, ``row_id`` the 0-based line.
 
-    Lines may differ in width. A cell that is not a number fails the job.
+    Lines may differ in width, and empty cells at the end of a line are none. Any other
+    cell that is not a number fails the job.
     """
     lines = number_lines(spark, path)
-    return lines.select("row_id", F.split("value", f"\\Q{sep}\\E").cast("array<double>").alias("values"))
+    whole = F.regexp_replace("value", f"(\\Q{sep}\\E)+$", "")
+    return lines.select("row_id", F.transform(F.split(whole, f"\\Q{sep}\\E"), lambda c: number(c)).alias("values"))
 
 
-def number_lines(spark: SparkSession, path: str) -> DataFrame:
+def number_lines(spark: SparkSession, path: str, stages: Stages | None = None) -> DataFrame:
     """Text lines with their dense 0-based number, files in path order: ``(row_id, value)``.
 
     A first pass counts the lines of each file split. The second adds to each line's
-    place in its split the lines before the split. What is broadcast and ordered in
-    between is one small record per split, less than the scan itself keeps per split
-    on the driver. A line whose split was cut differently in the first pass
-    fails the job, so no line can get a wrong number.
+    place in its split the lines before the split. What is ordered in between is one
+    small record per split, less than the scan itself keeps per split on the driver. It
+    is written as a stage table, so that the optimizer sees its size and broadcasts it
+    only if small. A line whose split was cut differently in the first pass fails the
+    job, so no line can get a wrong number.
     """
+    stages = stages or Stages(spark)
     lines = spark.read.text(path).select(
         "value",
         F.spark_partition_id().alias("task"),
@@ -44,7 +57,7 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
         .groupBy("task")
         .agg(F.collect_list(F.struct("file", "start", "length", "first", "shift")).alias("splits"))
     )
-    placed = lines.drop("path").join(F.broadcast(offsets), "task", "left")
+    placed = lines.drop("path").join(stages.new_table(offsets, "splits"), "task", "left")
     own = F.filter(
         "splits",
         lambda s: (s["file"] == F.col("file"))
@@ -69,11 +82,11 @@ def read_prepared(spark: SparkSession, path: str) -> DataFrame:
     cells = F.transform(
         F.split(parts[1], " "),
         lambda cell: F.struct(
-            F.substring_index(cell, "$", 1).cast("double").alias("value"),
-            F.substring_index(cell, "$", -1).cast("int").alias("col"),
+            number(F.substring_index(cell, "$", 1)).alias("value"),
+            number(F.substring_index(cell, "$", -1), "int").alias("col"),
         ),
     )
-    return lines.select(parts[0].cast("bigint").alias("row_id"), cells.alias("cells"))
+    return lines.select(number(parts[0], "bigint").alias("row_id"), cells.alias("cells"))
 
 
 def read_buckets(spark: SparkSession, path: str) -> DataFrame:
@@ -89,8 +102,8 @@ def read_buckets(spark: SparkSession, path: str) -> DataFrame:
     cells = F.split(fields[1], ",")
     return triples.select(
         "bucket",
-        fields[2].cast("bigint").alias("row_id"),
-        F.transform(cells, lambda c: F.substring_index(c, "#", 1).cast("int")).alias("cols"),
-        F.transform(cells, lambda c: F.substring_index(c, "#", -1).cast("double")).alias("values"),
-        fields[0].cast("double").alias("variance"),
+        number(fields[2], "bigint").alias("row_id"),
+        F.transform(cells, lambda c: number(F.substring_index(c, "#", 1), "int")).alias("cols"),
+        F.transform(cells, lambda c: number(F.substring_index(c, "#", -1))).alias("values"),
+        number(fields[0]).alias("variance"),
     )

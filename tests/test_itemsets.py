@@ -48,7 +48,7 @@ def test_closed_itemsets_against_all_subsets(spark, seed, n_rows, n_cols, minsup
     trans = random_transactions(seed, n_rows, n_cols, density=density)
     every = brute.closed_sets(set_of(trans), minsup)
     assert mined(its.closed_itemsets(frame(spark, trans), minsup)) == every
-    assert mined(its.closed_itemsets(frame(spark, trans), minsup, array_items=3)) == every
+    assert mined(its.closed_itemsets(frame(spark, trans), minsup, by_joins=True)) == every
 
 
 def test_min_cols_keeps_the_larger_sets_unchanged(spark):

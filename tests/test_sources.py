@@ -32,10 +32,22 @@ def test_matrix_rows_are_numbered_in_file_order(spark, tmp_path):
     assert rows == [(i, [float(i), i * 2 + 0.5, float(-i)]) for i in range(5000)]
 
 
-def test_a_cell_that_is_no_number_fails(spark, tmp_path):
-    (tmp_path / "m.csv").write_text("1,2\n3,x\n")
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        sources.read_matrix(spark, str(tmp_path)).collect()
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("cell", ["x", "", "1 2"])
+def test_a_cell_that_is_no_number_fails(spark, tmp_path, ansi, cell):
+    (tmp_path / "m.csv").write_text(f"1,2\n3,{cell},4\n")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="not a number"):
+            sources.read_matrix(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_empty_cells_at_the_end_of_a_line_are_none(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("7,8,9,\n1,2,,\n")
+    rows = sources.read_matrix(spark, str(tmp_path)).orderBy("row_id").collect()
+    assert [r["values"] for r in rows] == [[7.0, 8.0, 9.0], [1.0, 2.0]]
 
 
 def test_prepared_lines(spark, tmp_path, cells):

@@ -222,6 +222,30 @@ def renamed(sql: str, prefix: str) -> str:
 
 BLOCK_CLOSED = renamed(CLOSED, "b_")
 
+COMBINED = f"""{VECTOR_SETS},
+{BLOCKS},
+{BLOCK_CLOSED},
+{similar('b_')},
+{votes('b_', 'b_similar')},
+combined AS (
+  SELECT row_id, f.actual, f.is_training OR s.is_training AS is_training,
+         CASE WHEN f.is_training OR s.is_training THEN f.actual
+              ELSE coalesce(f.predicted, s.predicted) END AS predicted
+  FROM predicted f JOIN b_predicted s USING (row_id))"""
+
+# Closed sets and the rare items, each once over all ranges.
+EVERY = f"""{VALUED_CONCEPTS},
+rare AS (
+  SELECT row_ids, [min(item)] AS cols, 1 AS n_cols, len(row_ids) AS n_rows, bucket_id
+  FROM (SELECT bucket_id, item, list(row_id ORDER BY row_id) AS row_ids
+        FROM items GROUP BY 1, 2 HAVING count(*) < {MINSUP})
+  GROUP BY bucket_id, row_ids),
+every AS (
+  SELECT * FROM concepts
+  UNION ALL
+  SELECT row_ids, cols, any_value(n_cols), any_value(n_rows), list(bucket_id ORDER BY bucket_id)
+  FROM rare GROUP BY 1, 2)"""
+
 ORACLES: dict[str, str] = {
     "matrix_cells": chain(ORDERS) + " SELECT * FROM cells",
     "wide_matrix_cells": """
@@ -331,19 +355,13 @@ SELECT array_to_string(row_ids, ' ') || ',' || array_to_string(cols, ' ') || ' %
 FROM (SELECT *, count(*) OVER (PARTITION BY row_ids) AS n_dup FROM concepts)
 QUALIFY row_number() OVER (PARTITION BY row_ids
   ORDER BY n_cols DESC, length(array_to_string(cols, ' ')) DESC, cols) = 1""",
-    "concepts_with_subsupport": f"""{VALUED_CONCEPTS},
-rare AS (
-  SELECT row_ids, [min(item)] AS cols, 1 AS n_cols, len(row_ids) AS n_rows, bucket_id
-  FROM (SELECT bucket_id, item, list(row_id ORDER BY row_id) AS row_ids
-        FROM items GROUP BY 1, 2 HAVING count(*) < {MINSUP})
-  GROUP BY bucket_id, row_ids),
-every AS (
-  SELECT * FROM concepts
-  UNION ALL
-  SELECT row_ids, cols, any_value(n_cols), any_value(n_rows), list(bucket_id ORDER BY bucket_id)
-  FROM rare GROUP BY 1, 2)
+    "concepts_with_subsupport": f"""{EVERY}
 SELECT {ROWS}, {COLS}, n_cols, count(*) OVER (PARTITION BY row_ids) AS n_sets,
        array_to_string(bucket_ids, ',') AS bucket_ids
+FROM every""",
+    "subsupport_text": f"""{EVERY}
+SELECT array_to_string(row_ids, ' ') || ',' || array_to_string(cols, ' ') || ' % ' || n_rows || ',' || n_cols
+  AS value
 FROM every""",
     "even_biclusters": f"""{chain(ORDERS, TRIPLES, LITERAL, EVEN, VALUED_ITEMS, closed_of(3), CONCEPTS)}
 SELECT {ROWS}, {COLS}, n_cols, n_dup
@@ -368,13 +386,14 @@ SELECT actual, {", ".join(f'count(*) FILTER (predicted = {i}) AS "{i}"' for i in
 FROM predicted WHERE NOT is_training GROUP BY 1""",
     "similar_biclusters": chain(ORDERS, BLOCKS, BLOCK_CLOSED, similar("b_"))
     + f" SELECT {ROWS}, {COLS}, n_cols, value_min, value_max FROM b_similar",
-    "combined_predictions": f"""{VECTOR_SETS},
-{BLOCKS},
-{BLOCK_CLOSED},
-{similar('b_')},
-{votes('b_', 'b_similar')}
-SELECT row_id, f.actual, f.is_training OR s.is_training AS is_training,
-       CASE WHEN f.is_training OR s.is_training THEN f.actual
-            ELSE coalesce(f.predicted, s.predicted) END AS predicted
-FROM predicted f JOIN b_predicted s USING (row_id)""",
+    "combined_predictions": f"{COMBINED} SELECT * FROM combined",
+    "combined_training_labels": f"{COMBINED} SELECT row_id, actual AS label FROM combined WHERE is_training",
+    "combined_confusion_matrix": f"""{COMBINED}
+SELECT is_training, actual, predicted, count(*) AS n FROM combined GROUP BY 1, 2, 3""",
+    "ranked_file": f"""{PART_CONCEPTS},
+numbered AS (
+  SELECT *, {ROWS.replace('n_rows, ', '', 1)}, count(*) OVER (PARTITION BY row_ids) AS n_sets FROM concepts)
+SELECT row_number() OVER (ORDER BY n_rows DESC, n_sets DESC, row_min, row_max, row_xor, cols) - 1 AS line,
+  array_to_string(row_ids, ' ') || ',' || array_to_string(cols, ' ') || ' % ' || n_rows || ',' || n_cols AS value
+FROM numbered WHERE n_cols >= 4""",
 }

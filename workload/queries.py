@@ -267,7 +267,7 @@ def closed_itemsets_wide(spark, sf_dir):
 
 @query
 def closed_itemsets_by_joins(spark, sf_dir):
-    return shown(part_sets(spark, sf_dir, array_items=0).concepts)
+    return shown(part_sets(spark, sf_dir, by_joins=True).concepts)
 
 
 @query
@@ -372,6 +372,19 @@ def concepts_with_subsupport(spark, sf_dir):
     return found.select(*rows_of(), joined("cols"), "n_cols", "n_sets", joined("bucket_ids"))
 
 
+@query
+def subsupport_text(spark, sf_dir):
+    closed, found = biclusters(
+        mat.orders_by_line(spark, sf_dir),
+        mat.ORDER_GRID,
+        mat.MINSUP,
+        least_cols=1,
+        item="col_value",
+        include_subsupport=True,
+    )
+    return sources.concept_lines(closed, found).select("value")
+
+
 @query
 def even_biclusters(spark, sf_dir):
     closed = mine(
@@ -422,6 +435,14 @@ def bicluster_files(spark, sf_dir):
     )
 
 
+@query
+def ranked_file(spark, sf_dir):
+    folder = Stages(spark).folder
+    closed, found = biclusters(mat.parts_by_month(spark, sf_dir), mat.PART_GRID, mat.MINSUP, least_cols=4)
+    sources.write_concepts(sources.concept_lines(closed, found), f"{folder}/final", "text", files=1)
+    return sources.number_lines(spark, f"{folder}/final").select(F.col("row_id").alias("line"), "value")
+
+
 # Labels
 
 
@@ -466,3 +487,13 @@ def combined_predictions(spark, sf_dir):
     cells = cel.to_cells(mat.vectors(spark, sf_dir), values="values")
     second = vector_votes(*sim.similar_value_biclusters(cells, THETA, mat.MINSUP, 2), labels)
     return pre.combine_predictions(first, second)
+
+
+@query
+def combined_training_labels(spark, sf_dir):
+    return combined_predictions(spark, sf_dir).where("is_training").select("row_id", F.col("actual").alias("label"))
+
+
+@query
+def combined_confusion_matrix(spark, sf_dir):
+    return pre.confusion_matrix(combined_predictions(spark, sf_dir))

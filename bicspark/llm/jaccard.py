@@ -8,9 +8,11 @@ like sets agree in at least one segment, and the subset in a segment is a signat
 Allocation by cost: a sketch of how often signatures of a segment collide, over all sets,
 tells which segments are crowded. A crowded one is left out against one-deletion
 neighbourhoods in a quiet one, where sets then may differ by one token. Bands with very
-many segments index the quiet ones of a choice: as tokens fall at random, like sets agree
-in over a third of the segments, so that ``INDEXED`` of them all differ with a chance far
-below that of a hash collision. Small sets use prefixes of their tokens in hash order.
+many segments index the first ``INDEXED`` of them, whatever the sets hold: as tokens fall
+at random, like sets agree in over a third of the segments, so that those all differ with
+a chance far below that of a hash collision. Choosing them by cost would leave out just
+the ones in which groups of copies agree. Small sets use prefixes of their tokens in hash
+order.
 
 Sets that share a signature are candidates. Of those with a signature, the anchor is the
 one that shares most signatures with others, as the original of many copies does. First
@@ -37,8 +39,8 @@ from bicspark.llm.components import components
 from bicspark.llm.shingles import mix, sums_by_run
 from bicspark.plans.stages import Stages
 
-#: Segments per set and band of which signatures are indexed, and that are chosen from.
-INDEXED, CHOICE = 128, 512
+#: Most segments per set and band of which signatures are indexed.
+INDEXED = 128
 #: Up to so many segments a band works by prefixes, up to so many by several partitions.
 PREFIX_SEGMENTS, REPEATED_SEGMENTS, REPEATS = 8, 32, 3
 #: Signatures that one group of the index holds, about.
@@ -105,7 +107,7 @@ class Plan:
                     token, own = token[order], own[order]
                 # Segments rise with the hash, so each is a run of a set's tokens.
                 segment = ((token >> np.uint64(32)) * m[own].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-                near = segment < CHOICE
+                near = segment < INDEXED
                 token, own, segment = token[near], own[near], segment[near]
                 if not len(token):
                     continue
@@ -208,16 +210,29 @@ def describe(docs: DataFrame) -> DataFrame:
 
 def crowding(docs: DataFrame, plan: Plan) -> DataFrame:
     """``(band, segment, sets, tokens, z1..z4)``: per segment how many signatures there are,
-    and sums of random signs of them, whose squares estimate the pairs that collide."""
+    and sums of random signs of them, whose squares estimate the pairs that collide.
+
+    Only bands of which :func:`allocate` may leave segments out.
+    """
+    bands = np.arange(len(plan.limits))
+    weighed = (plan.segments(bands) > REPEATED_SEGMENTS) & (plan.segments(bands) <= INDEXED)
+    # A set signs for its own band and the next.
+    signing = weighed | np.append(weighed[1:], False)
 
     def run(batches):
         for _, tokens, counts, ids in _texts(batches):
-            tokens, counts = _chosen(tokens, counts, _once(ids, counts))
+            at = _once(ids, counts)
+            at = at[signing[np.searchsorted(plan.limits, counts[at], side="left")]]
+            tokens, counts = _chosen(tokens, counts, at)
             for signature, _, band, segment, sizes in plan.signatures(tokens, counts):
-                if band is None or not len(band):
+                if band is None:
+                    continue
+                own = weighed[band // 4]
+                signature, band, segment, sizes = (x[own] for x in (signature, band, segment, sizes))
+                if not len(band):
                     continue
-                keys, code = np.unique(band * CHOICE + segment, return_inverse=True)
-                columns = [keys // CHOICE, keys % CHOICE, np.bincount(code), np.bincount(code, sizes).astype(np.int64)]
+                keys, code = np.unique(band * INDEXED + segment, return_inverse=True)
+                columns = [keys // INDEXED, keys % INDEXED, np.bincount(code), np.bincount(code, sizes).astype(np.int64)]
                 for k in range(_SIGNS):
                     sign = 1.0 - 2.0 * ((signature >> np.uint64(k)) & np.uint64(1)).astype(float)
                     columns.append(np.bincount(code, sign).astype(np.int64))
@@ -229,9 +244,9 @@ def crowding(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def allocate(rows: list, plan: Plan) -> Plan:
-    """The plan with every band's segments chosen by what they cost.
+    """The plan with the segments of medium bands chosen by what they cost.
 
-    ``rows`` is :func:`crowding`'s table: at most ``CHOICE`` records per band.
+    ``rows`` is :func:`crowding`'s table: at most ``INDEXED`` records per band.
     """
     cost: dict[int, dict[int, list[float]]] = {}
     for r in rows:
@@ -241,21 +256,16 @@ def allocate(rows: list, plan: Plan) -> Plan:
         own[1] += r["tokens"]
     use = {}
     for band, segments in cost.items():
-        m = int(plan.segments(np.array([band]))[0])
-        n = min(m, CHOICE)
+        n = int(plan.segments(np.array([band]))[0])
         pairs = np.array([segments.get(k, [0, 0])[0] for k in range(n)])
         tokens = np.array([segments.get(k, [0, 0])[1] for k in range(n)])
         order = np.lexsort((np.arange(n), pairs))
-        out = np.zeros(CHOICE, dtype=np.int8)
-        if m > INDEXED:
-            out[:] = -1
-            out[order[:INDEXED]] = 0
-        elif m > REPEATED_SEGMENTS:
-            for quiet, crowded in zip(order[: n // 2], order[::-1]):
-                # Leave one out if its pairs cost more than the other's deletions.
-                if pairs[crowded] <= tokens[quiet] + pairs[quiet]:
-                    break
-                out[crowded], out[quiet] = -1, 1
+        out = np.zeros(n, dtype=np.int8)
+        for quiet, crowded in zip(order[: n // 2], order[::-1]):
+            # Leave one out if its pairs cost more than the other's deletions.
+            if pairs[crowded] <= tokens[quiet] + pairs[quiet]:
+                break
+            out[crowded], out[quiet] = -1, 1
         use[band] = out
     return Plan(plan.percent, plan.limits, use)
 

@@ -4,11 +4,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bicspark.llm import binarycodes, gam, jaccard, mixing, multiprobe, packing, sharding, skipchain, tokenfile, toxicity
+from bicspark.llm import binarycodes, gam, jaccard, mixing, multiprobe, packing, sharding, shingles, skipchain, tokenfile, toxicity
 from bicspark.llm.common import ship_code
 from bicspark.llm.components import components
 from bicspark.llm.queries import QUERIES
@@ -188,3 +189,23 @@ def test_nearest_of_many_equal_vectors(spark):
     found = multiprobe.search(table, table.where("vec_id in (3, 100)"), 20).collect()
     for q, ids in ((3, [0, 1, 2, *range(4, 21)]), (100, list(range(20)))):
         assert [r["vec_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == ids
+
+
+@pytest.mark.parametrize("n_words, changed", [(1200, 14), (1200, 26), (2500, 40)])
+def test_two_large_groups_of_copies_are_linked(spark, n_words, changed):
+    """Segments in which two versions agree are crowded by their copies, and are needed for the link."""
+    rng = np.random.default_rng(changed)
+    words = [f"w{k}" for k in rng.integers(0, 10**9, n_words)]
+    other = list(words)
+    for at in rng.permutation(n_words // 7)[:changed] * 7:
+        other[at] = f"x{at}"
+    rows = [(2 * k + v, " ".join([*version, f"copy{k}"])) for k in range(30) for v, version in enumerate((words, other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plan = jaccard.Plan(75, jaccard.band_limits(n_words))
+    plan = jaccard.allocate(jaccard.crowding(docs, plan).collect(), plan)
+    tokens = [shingles.sets(pa.array([" ".join(x)]))[0] for x in (words, other)]
+    alike = len(np.intersect1d(*tokens)) / len(np.union1d(*tokens))
+    assert 0.75 <= alike <= 0.95
+    signs = [{int(s) for part in plan.signatures(t, np.array([len(t)])) for s in part[0]} for t in tokens]
+    assert signs[0] & signs[1]
+    assert {r["component_id"] for r in jaccard.join(docs).collect()} == {0}

@@ -7,10 +7,11 @@ the code, divided by that factor, is an unbiased estimate of the two vectors' in
 product, with an error of about ``sqrt((1 - f**2) / f**2 / (BITS - 1))``. Pairs whose upper
 confidence bound lies below the threshold are done; the others are computed exactly.
 
-Pairs meet where they share the bits of a code that a table selects. The number of bits
-follows the number of vectors, so that random vectors meet in groups of bounded size, and
-the number of tables follows from the chance that a pair at the threshold shares those
-bits. A pair that meets in several tables counts in the first. Tasks return counts of links
+Pairs meet where they share the key of a table: the signs along its own random directions.
+The number of signs follows the number of vectors, so that random vectors meet in groups of
+bounded size, and the number of tables follows from the chance that a pair at the threshold
+shares all signs of one. No two tables have a direction in common, so that a pair that
+misses one meets in the next with the same chance. A pair that meets in several tables counts in the first. Tasks return counts of links
 and links that span them, never all pairs.
 """
 
@@ -30,7 +31,7 @@ from bicspark.plans.stages import Stages
 BITS = 256
 #: Vectors that random vectors share a key with, about; members that meet at a time.
 CROWD, BLOCK = 64, 1024
-#: The chance with which a pair at the threshold shares some table's bits.
+#: The chance with which a pair at the threshold shares some table's key.
 FOUND = 0.9999
 #: Standard errors that a bound is off the estimate.
 BOUND = 4.0
@@ -38,13 +39,18 @@ BOUND = 4.0
 GROUP = 16_384
 
 
-def tables(n: int, threshold: float, bits: int = BITS) -> list[np.ndarray]:
-    """Of each table, which bits it selects; the same for every run over ``n`` vectors."""
-    width = max(1, min(24, round(math.log2(max(n, 2) / CROWD))))
-    same = (1 - math.acos(threshold) / math.pi) ** width
+def tables(n: int, threshold: float) -> tuple[int, int]:
+    """How many signs make a key, and how many tables there are, for ``n`` vectors."""
+    signs = max(1, min(24, round(math.log2(max(n, 2) / CROWD))))
+    same = (1 - math.acos(threshold) / math.pi) ** signs
     count = max(1, math.ceil(math.log(1 - FOUND) / math.log(1 - same))) if same < 1 else 1
-    random = np.random.default_rng([17, width])
-    return [np.sort(random.choice(bits, width, replace=False)) for _ in range(count)]
+    return signs, count
+
+
+def planes(width: int, signs: int, count: int) -> list[np.ndarray]:
+    """The random directions of each table; the same in every run."""
+    random = np.random.default_rng([17, width, signs])
+    return [random.standard_normal((width, signs)) for _ in range(count)]
 
 
 def encode(rows: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,9 +60,9 @@ def encode(rows: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return unit, turned >= 0, np.abs(turned).sum(axis=1) / math.sqrt(turn.shape[1])
 
 
-def _keys(bits: np.ndarray, chosen: list[np.ndarray]) -> np.ndarray:
-    """One key per vector and table."""
-    return np.stack([bits[:, c] @ (1 << np.arange(len(c), dtype=np.int64)) for c in chosen], axis=1)
+def keys_of(unit: np.ndarray, chosen: list[np.ndarray]) -> np.ndarray:
+    """One key per direction and table."""
+    return np.stack([(unit @ p >= 0) @ (1 << np.arange(p.shape[1], dtype=np.int64)) for p in chosen], axis=1)
 
 
 def compare(
@@ -114,19 +120,20 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9) -> DataFrame:
         "rows",
         n=F.count_if("usable"),
     )
-    chosen = tables(seen["n"], threshold)
-    n_groups = max(1, seen["n"] * len(chosen) // GROUP)
+    signs, count = tables(seen["n"], threshold)
+    n_groups = max(1, seen["n"] * count // GROUP)
 
     def place(batches):
-        turns: dict[int, np.ndarray] = {}
+        chosen: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             sizes = batch.column("width").to_numpy()
             for width in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == width))
-                turn = turns.setdefault(width, vec.rotation(width, max(BITS, width), 1))
+                if width not in chosen:
+                    chosen[width] = planes(width, signs, count)
                 data = vec.matrix(part.column("vector"), width)
-                keys = _keys(encode(data, turn)[1], chosen)
-                for t in range(len(chosen)):
+                keys = keys_of(vec.directions(data), chosen[width])
+                for t in range(count):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(keys), t, np.int32)), pa.array(keys[:, t]), part.column("width"), part.column("row_"), part.column("vector")],
                         names=["table", "key", "width", "row_", "vector"],
@@ -163,7 +170,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9) -> DataFrame:
             of_width = columns["width"] == width
             data = vec.matrix(stored.take(pa.array(order[of_width])), width)
             unit, bits, factor = encode(data, turn)
-            all_keys = _keys(bits, chosen)
+            all_keys = keys_of(unit, planes(width, signs, count))
             at = np.cumsum(of_width) - 1
             for first, last in zip(cuts, ends):
                 if columns["width"][first] != width or last - first < 2:

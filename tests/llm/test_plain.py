@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from bicspark.llm import gam, ids, jaccard, mixing, multiprobe, rangecoder, shingles, skipchain, toxicity
+from bicspark.llm import binarycodes, gam, ids, jaccard, mixing, multiprobe, rangecoder, shingles, skipchain, toxicity
 
 PIECES = ["a", "B", "é", " ", "  ", "\n", " \n", "1", "23", "'s", "!!", "<|endoftext|>", "日本", "\x85", "²", "word", "the ", "\x00", "Ā"]
 
@@ -155,3 +155,21 @@ def test_probes_come_in_order_of_chance():
     for q in range(5):
         few, many = some[1][some[0] == q], more[1][more[0] == q]
         assert (few == many[: len(few)]).all() and len(set(many)) == len(many) and own[q] in many
+
+
+@pytest.mark.parametrize("n", [51_282, 1_000_000])
+@pytest.mark.parametrize("width", [32, 384])
+def test_pairs_at_the_threshold_meet_as_often_as_stated(n, width):
+    rng = np.random.default_rng(6)
+    chosen = binarycodes.planes(width, *binarycodes.tables(n, 0.9))
+    missed = 0
+    for _ in range(4):
+        one = rng.standard_normal((10_000, width))
+        one /= np.linalg.norm(one, axis=1)[:, None]
+        away = rng.standard_normal(one.shape)
+        away -= (away * one).sum(axis=1)[:, None] * one
+        away /= np.linalg.norm(away, axis=1)[:, None]
+        other = 0.9 * one + np.sqrt(1 - 0.81) * away
+        missed += (~(binarycodes.keys_of(one, chosen) == binarycodes.keys_of(other, chosen)).any(axis=1)).sum()
+    # 4 are expected of 40,000; 30 to 79 were missed with tables that select from the same 256 bits.
+    assert missed <= 14

@@ -575,12 +575,23 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, stages: Stages, n
 def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The documents of which one per group stays: that with the group's smallest id.
 
-    Of rows with one and the same ``doc_id`` one stays; rows without a ``doc_id`` stay.
+    Rows are told apart by a key of their own, not by ``doc_id``: of a group of like texts
+    one row stays, whatever ids they have, and unlike texts with one id all stay. An id that
+    is null comes last. Texts without shingles stay, but of those with one ``doc_id`` one.
     """
-    kept = Stages(docs.sparkSession).table(
-        join(docs, percent).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "kept"
-    )
-    once = docs.join(kept.where("n = 1"), "doc_id", "left_semi")
-    # Only rows that share their doc_id need the work of dropping all but one.
-    repeated = docs.join(kept.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    row = "row_"
+    while row in docs.columns:
+        row += "_"
+    stages = Stages(docs.sparkSession)
+    keyed = stages.table(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = join(keyed.select(F.col(row).alias("doc_id"), "text"), percent).withColumnRenamed("doc_id", row)
+    blank = F.col("n_shingles") == 0
+    groups = [
+        F.when(~blank, F.col("component_id")),
+        F.when(blank, F.col("doc_id")),
+        F.when(blank & F.col("doc_id").isNull(), F.col(row)),
+    ]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)).alias("first")
+    kept = found.join(keyed.select(row, "doc_id"), row).groupBy(*[g.alias(f"group_{k}") for k, g in enumerate(groups)]).agg(first)
+    kept = stages.table(kept.select(F.col(f"first.{row}").alias(row)), "kept")
+    return keyed.join(kept, row, "left_semi").select(*docs.columns)

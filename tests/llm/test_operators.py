@@ -209,3 +209,12 @@ def test_two_large_groups_of_copies_are_linked(spark, n_words, changed):
     signs = [{int(s) for part in plan.signatures(t, np.array([len(t)])) for s in part[0]} for t in tokens]
     assert signs[0] & signs[1]
     assert {r["component_id"] for r in jaccard.join(docs).collect()} == {0}
+
+
+def test_one_row_per_group_stays_whatever_the_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(5, a), (5, b), (1, c), (3, c + " more"), (3, d), (None, d), (None, "z z z"), (None, "z z z"), (7, None), (7, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_", F.lit("x"))
+    found = jaccard.representatives(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in found) == [(0, ""), (0, ""), (0, "z z z"), (1, c), (3, d), (5, a), (5, b), (7, "")]
+    assert {r["row_"] for r in found} == {"x"}

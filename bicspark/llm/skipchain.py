@@ -29,7 +29,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-# Tokens that may be nodes: they hold a digit, or an "at" between two words.
+# Tokens that may be nodes: they hold a digit, a dot or an underscore. Words of letters
+# only, such as the name of an address elsewhere in the text, are none.
 _NODE = re.compile(rf"[(+]?[0-9](?:[\x20().-]{{0,2}}[0-9])+|(?<![{_LOCAL}])[{_LOCAL}]*[0-9._][{_LOCAL}]*[A-Za-z0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 #: Fewest digits, and letters or digits of a name, by which two tokens are similar.

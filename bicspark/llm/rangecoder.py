@@ -1,4 +1,4 @@
-"""An adaptive context-mixing range coder for blocks of token ids.
+"""An adaptive range coder for blocks of token ids, which picks one order by an escape flag.
 
 A block is cut into lanes that are coded side by side, each with a range coder of its
 own; all lanes of a block share one model, which starts anew with every block:

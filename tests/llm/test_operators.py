@@ -1,5 +1,6 @@
 """Operators over small tables with nulls, ties, repeated rows and clashing columns."""
 
+import re
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bicspark.llm import binarycodes, gam, jaccard, mixing, multiprobe, packing, sharding, shingles, skipchain, tokenfile, toxicity
+from bicspark.llm import binarycodes, gam, ids, jaccard, mixing, multiprobe, packing, sharding, shingles, skipchain, tokenfile, toxicity
 from bicspark.llm.common import ship_code
 from bicspark.llm.components import components
 from bicspark.llm.queries import QUERIES
@@ -218,3 +219,49 @@ def test_one_row_per_group_stays_whatever_the_ids(spark):
     found = jaccard.representatives(docs).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in found) == [(0, ""), (0, ""), (0, "z z z"), (1, c), (3, d), (5, a), (5, b), (7, "")]
     assert {r["row_"] for r in found} == {"x"}
+
+
+def test_pipeline_stages_equal_plain_versions(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(12)
+    prose = [" ".join(f"word{k}" for k in rng.integers(0, 5000, 60)) for _ in range(60)]
+    rows = [(k, t, "s1" if k % 3 else "s2") for k, t in enumerate(prose)]
+    rows += [(100 + k, f"{t} copy", "s1") for k, t in enumerate(prose[:6])]
+    rows += [(200 + k, f"{t} write to a{k}.b@c.de or +1 (988) 555-248{k}", "s2") for k, t in enumerate(reversed(prose[-4:]))]
+    rows += [(300 + k, f"{k} $$$ !!! " * 20, "s1") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.withColumn("n_chars", F.length("text").cast("bigint")).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(r[0], int(r[0] < 300)) for r in rows], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    tables = {}
+
+    def kept(name, stage):
+        def run(spark, docs, sf_dir):
+            tables[name] = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+            return stage(spark, docs, sf_dir)
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, kept(n, s)) for n, s in corpus_pipeline.STAGES])
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    good = [r for r in rows if r[0] < 300]
+    assert sorted(tables["quality"]) == sorted(rows) and sorted(tables["near_duplicates"]) == good
+    sets = {}
+    for doc, text, _ in good:
+        words = text.lower().split()
+        sets[doc] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    first = [r for r in good if not any(4 * len(sets[r[0]] & sets[o[0]]) >= 3 * len(sets[r[0]] | sets[o[0]]) for o in good if o[0] < r[0])]
+    assert sorted(tables["personal_data"]) == first and len(first) < len(good)
+    masked = [(d, re.sub(r"\+1 \(988\) 555-248\d", "[PHONE]", re.sub(r"\S+@c\.de", "[EMAIL]", t)), s) for d, t, s in first]
+    assert sorted(tables["mixture"]) == masked
+    mixed = tables["packing"]
+    assert set(mixed) <= set(masked) and all(mixed.count(r) <= 2 for r in masked)
+    size = {s: sum(len(t.split()) for _, t, x in masked if x == s) for s in ("s1", "s2")}
+    share = 1.5 * sum(size.values())
+    target = {"s1": min(2 * size["s1"], 5 / 7 * share)}
+    target["s2"] = min(2 * size["s2"], share - target["s1"])
+    for s in size:
+        # A document, of about 60 words, is the smallest step.
+        assert abs(sum(len(t.split()) for _, t, x in mixed if x == s) - target[s]) <= 100
+    tokenizer = ids.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    expected = sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t, _ in mixed)
+    assert sum(r["length"] for r in packed) == expected

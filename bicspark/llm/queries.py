@@ -11,14 +11,28 @@ import public_tokenizers
 
 import corpus_pipeline
 
-from bicspark.llm import binarycodes, gam, jaccard, mixing, multiprobe, packing, sharding, skipchain, tokenfile, toxicity
+from bicspark.llm import (
+    binarycodes,
+    conversations,
+    gam,
+    jaccard,
+    langid,
+    mixing,
+    multiprobe,
+    packing,
+    sharding,
+    skipchain,
+    tokenfile,
+    toxicity,
+    whitening,
+)
 from bicspark.llm.common import read, ship_code
-from bicspark.llm.oracles import MIXING
+from bicspark.llm.oracles import CONVERSATIONS, MIXING
 from bicspark.plans.stages import Stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {"op3_mixing": MIXING}
+ORACLES: dict[str, str] = {"op3_mixing": MIXING, "op11_conversations": CONVERSATIONS}
 
 
 def query(function: Query) -> Query:
@@ -108,6 +122,24 @@ def op10_quality(spark, sf_dir):
     return gam.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op11_conversations(spark, sf_dir):
+    """Every conversation, damaged, with its faults and the cheapest edits that mend it."""
+    return conversations.audit(conversations.damaged(read(spark, sf_dir, "conversations")))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    """Every vector on the first four whitened components."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), 4)
+
+
+@query
+def op13_language(spark, sf_dir):
+    """Every document with its predicted language."""
+    return langid.languages(read(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark, sf_dir):
     """The documents of the corpus pipeline, packed."""

@@ -209,7 +209,8 @@ def calibrate(logits: np.ndarray, target: np.ndarray, error: float = ERROR) -> t
     order = np.argsort(-sure, kind="stable")
     wrong = np.cumsum(found.argmax(axis=1)[order] != target[order])
     n = np.arange(1, len(order) + 1)
-    allowed = np.flatnonzero(wrong + np.minimum(1, error * n) <= np.maximum(error * n, 1e-9))
+    last_of_ties = np.append(np.diff(sure[order]) != 0, True)
+    allowed = np.flatnonzero(last_of_ties & (wrong + np.minimum(1, error * n) <= error * n + 1e-9))
     return float(temperature), float(sure[order][allowed[-1]]) if len(allowed) else 1.0
 
 

@@ -8,6 +8,9 @@ a file size that lets the optimizer choose a broadcast by a checked size.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +27,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_made: ContextVar[list[Stages] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def dropped_after() -> Iterator[None]:
+    """Remove all stage tables made inside at the end, when their result is written elsewhere."""
+    made: list[Stages] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for stages in made:
+            stages.drop()
+
+
 class Stages:
     """Tables of one job run, each written once under a folder of its own."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
         self.folder = folder or f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+        made = _made.get()
+        if made is not None:
+            made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"

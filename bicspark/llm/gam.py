@@ -15,8 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bicspark.llm.common import in_share, labelled
+from bicspark.llm.common import free_name, from_texts, in_share, labelled
 
 #: At most so many labelled documents train the model.
 TRAINING_ROWS = 20_000
@@ -225,16 +226,14 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
     return fit(x[order], found["label"].to_numpy(dtype=float)[order])
 
 
-def score(rows: DataFrame, model: Additive) -> DataFrame:
-    """All rows with ``score``, the probability of label 1. Every text is scored whole."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+def score(rows: DataFrame, model: Additive, keep: list[str], name: str = "score") -> DataFrame:
+    """The kept columns with the probability of label 1. Every text is scored whole."""
 
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array([features(t) for t in batch["text"]], dtype=float).reshape(-1, len(FEATURES))
-            yield batch.assign(score_=model.scores(x))
+    def scores(texts: list[str | None]) -> dict[str, list]:
+        x = np.array([features(t) for t in texts], dtype=float).reshape(-1, len(FEATURES))
+        return {name: model.scores(x)}
 
-    return rows.mapInPandas(compute, f"{fields}, score_ double")
+    return from_texts(rows, keep, {name: T.DoubleType()}, lambda: scores)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -246,7 +245,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
     """
     model = train(docs, labels)
     # The text itself is not returned, so that little leaves the Python workers.
-    scored = _slim_scores(docs, model)
+    scored = score(docs, model, ["doc_id"])
     return scored.select(
         "doc_id",
         in_share(F.col("doc_id"), 5, 0).alias("held_out"),
@@ -255,16 +254,11 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
     )
 
 
-def _slim_scores(docs: DataFrame, model: Additive) -> DataFrame:
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array([features(t) for t in batch["text"]], dtype=float).reshape(-1, len(FEATURES))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": model.scores(x)})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(compute, f"doc_id {kind}, score double")
-
-
 def kept_by_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that the classifier does not reject, with all their columns."""
-    return score(docs, train(docs, labels)).where(F.col("score_") >= threshold).drop("score_")
+    """The documents that the classifier does not reject, with all their columns unchanged.
+
+    Rows are judged one by one, as in :func:`quality`: null and blank texts by the score of
+    texts without features, repeated rows alike, rows without a ``doc_id`` like others.
+    """
+    name = free_name("score", docs.columns)
+    return score(docs, train(docs, labels), docs.columns, name).where(F.col(name) >= threshold).drop(name)

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from bicspark.llm import ids as token_ids
 from bicspark.llm import shingles
+from bicspark.llm.common import free_name, with_row_key
 from bicspark.llm.components import components
 from bicspark.llm.shingles import mix, sums_by_run
 from bicspark.plans.stages import Stages
@@ -579,11 +580,9 @@ def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
     one row stays, whatever ids they have, and unlike texts with one id all stay. An id that
     is null comes last. Texts without shingles stay, but of those with one ``doc_id`` one.
     """
-    row = "row_"
-    while row in docs.columns:
-        row += "_"
+    row = free_name("row", docs.columns)
     stages = Stages(docs.sparkSession)
-    keyed = stages.table(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    keyed = with_row_key(docs, row, stages)
     found = join(keyed.select(F.col(row).alias("doc_id"), "text"), percent).withColumnRenamed("doc_id", row)
     blank = F.col("n_shingles") == 0
     groups = [

@@ -14,7 +14,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bicspark.llm.common import n_words, seeded, source_key
+from bicspark.llm.common import free_name, n_words, seeded, source_key, with_row_key
 from bicspark.llm.prefix import running
 from bicspark.plans.stages import Stages
 
@@ -196,12 +196,13 @@ def mix_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of the mix: every document as often as it is taken."""
-    stages = Stages(spark)
-    keyed = stages.table(docs.withColumn("row_", F.monotonically_increasing_id()), "keyed")
-    mixed = mix_documents(keyed, key="row_").select("row_", "copies").where("copies > 0")
-    return (
-        keyed.join(mixed, "row_")
-        .withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-        .select(*docs.columns)
-    )
+    """The rows of the mix: every document as often as it is taken.
+
+    Columns keep their names and values. Rows are told apart by a key of their own, so
+    repeated and null ids are documents like others.
+    """
+    row, copies, copy = (free_name(c, docs.columns) for c in ("row", "copies", "copy"))
+    keyed = with_row_key(docs, row, Stages(spark))
+    mixed = mix_documents(keyed, key=row).select(row, F.col("copies").alias(copies)).where(F.col(copies) > 0)
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies)))
+    return keyed.join(mixed, row).select(*docs.columns, each.alias(copy)).drop(copy)

@@ -6,7 +6,8 @@ window, and it sends packets while the credit lasts; what is left, its deficit,
 to the next round. So a packet that ends at token ``e`` of its queue is sent in round
 ``ceil(e / quantum)``: the state of every queue at any round is known without running
 the rounds before it, and windows of all partitions are filled at the same time. The
-packets, in the order of rounds, are cut into windows.
+packets, in the order of rounds, are cut into windows; those of one document that meet
+in a round are one piece.
 """
 
 from __future__ import annotations
@@ -75,8 +76,12 @@ def pack(tokenised: DataFrame, window: int = 2048, seed: str = "queues", packet:
     quantum = F.col("queue_tokens") * F.lit(float(window)) / F.lit(float(total))
     end = F.col("before") + F.col("start") + F.col("length")
     round_ = F.least(F.greatest(F.ceil(end / quantum), F.lit(1)), F.lit(n_rounds)) - 1
+    # Packets of a document in one round follow each other, so they go as one.
+    together = packets.groupBy("row_", "stratum", round_.alias("round")).agg(
+        F.min("start").alias("start"), F.sum("length").alias("length"), F.min(F.col("before") + F.col("start")).alias("at")
+    )
     sent, counted = stages.observed_table(
-        packets.select("row_", "stratum", "start", "length", round_.alias("round"), (F.col("before") + F.col("start")).alias("at")),
+        together,
         "packets",
         n=F.count("*"),
     )

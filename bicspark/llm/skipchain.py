@@ -19,6 +19,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from bicspark.llm.common import from_texts
 
 KINDS = ["email", "ip", "card", "phone"]
 _LOCAL = "A-Za-z0-9._%+-"
@@ -216,19 +219,17 @@ def learn(docs: DataFrame) -> dict[str, list[float]]:
 
 def find(docs: DataFrame, keep: list[str], odds: dict[str, list[float]]) -> DataFrame:
     """The kept columns with ``base`` and ``added`` spans of every whole text."""
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            base = [base_spans(t) if t else [] for t in batch["text"]]
-            more = [added_spans(t, b, odds) if b else [] for t, b in zip(batch["text"], base)]
-            out = {f"n_{kind}": [sum(s[2] == k for s in b) for b in base] for k, kind in enumerate(KINDS)}
-            out["base"] = [joined(b) for b in base]
-            out["spans"] = [joined(sorted(b + m, key=lambda s: (s[0], s[2]))) for b, m in zip(base, more)]
-            yield pd.DataFrame({c: batch[c] for c in keep} | {c: pd.Series(v, index=batch.index) for c, v in out.items()})
+    def scan(texts: list[str | None]) -> dict[str, list]:
+        base = [base_spans(t) if t else [] for t in texts]
+        more = [added_spans(t, b, odds) if b else [] for t, b in zip(texts, base)]
+        out = {f"n_{kind}": [sum(s[2] == k for s in b) for b in base] for k, kind in enumerate(KINDS)}
+        out["base"] = [joined(b) for b in base]
+        out["spans"] = [joined(sorted(b + m, key=lambda s: (s[0], s[2]))) for b, m in zip(base, more)]
+        return out
 
-    counts = ", ".join(f"n_{kind} long" for kind in KINDS)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(scan, f"{fields}, {counts}, base string, spans string")
+    added = {f"n_{kind}": T.LongType() for kind in KINDS} | {"base": T.StringType(), "spans": T.StringType()}
+    return from_texts(docs, keep, added, lambda: scan)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -245,10 +246,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets, ``n_chars`` to match.
 
-    Where spans overlap, the first to start names what is masked.
+    Where spans overlap, the first to start names what is masked. Null and empty texts and
+    texts without personal data stay as they are, repeated rows alike; other columns are
+    unchanged, whatever their names.
     """
     odds = learn(docs)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def mask(text: str | None) -> str | None:
         base = base_spans(text) if text else []
@@ -261,9 +263,5 @@ def masked(docs: DataFrame) -> DataFrame:
             done = max(done, b)
         return "".join([*parts, text[done:]])
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(text=[mask(t) for t in batch["text"]])
-
-    out = docs.mapInPandas(scan, fields)
+    out = from_texts(docs, docs.columns, {"text": T.StringType()}, lambda: lambda texts: {"text": [mask(t) for t in texts]})
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out

@@ -20,8 +20,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bicspark.llm.common import in_share, labelled
+from bicspark.llm.common import from_texts, in_share, labelled
 
 #: At most so many labelled documents train the model.
 TRAINING_ROWS = 10_000
@@ -262,18 +263,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     """
     model = train(docs, labels)
 
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         values = Values(model.odds)
-        for batch in batches:
-            scores, spans = [], []
-            for text in batch["text"]:
-                found_strength, found = best(text, model, values)
-                scores.append(probability(found_strength, model))
-                spans.append(",".join(f"{a}:{b}" for a, b in found))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores, "passages": spans})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInPandas(compute, f"doc_id {kind}, score double, passages string")
+
+        def compute(texts: list[str | None]) -> dict[str, list]:
+            found = [best(t, model, values) for t in texts]
+            return {
+                "score": [probability(s, model) for s, _ in found],
+                "passages": [",".join(f"{a}:{b}" for a, b in spans) for _, spans in found],
+            }
+
+        return compute
+
+    scored = from_texts(docs, ["doc_id"], {"score": T.DoubleType(), "passages": T.StringType()}, start)
     return scored.select(
         "doc_id",
         in_share(F.col("doc_id"), 4, 2).alias("held_out"),

@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -11,11 +12,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bicspark.llm import binarycodes, gam, ids, jaccard, mixing, multiprobe, packing, sharding, shingles, skipchain, tokenfile, toxicity
-from bicspark.llm.common import ship_code
+from bicspark.llm.common import ship_code, with_row_key
 from bicspark.llm.components import components
 from bicspark.llm.queries import QUERIES
-from bicspark.plans.stages import Stages
+from bicspark.plans.stages import Stages, shared_folder
 
+SMALL = "/root/testdata/sf0.001"
 BASE = " ".join(f"w{i}" for i in range(60))
 TEXTS = [
     (1, BASE, "en", "s1"),
@@ -180,7 +182,7 @@ def test_nearest_neighbours(spark):
 
 def test_pipeline_stages_are_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "personal_data", "mixture", "packing"]
-    assert len([q for q in QUERIES if q.startswith("op")]) == 10 and "pipeline" in QUERIES
+    assert len([q for q in QUERIES if q.startswith("op")]) == 13 and "pipeline" in QUERIES
 
 
 def test_nearest_of_many_equal_vectors(spark):
@@ -265,3 +267,57 @@ def test_pipeline_stages_equal_plain_versions(spark, tmp_path, monkeypatch):
     tokenizer = ids.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     expected = sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t, _ in mixed)
     assert sum(r["length"] for r in packed) == expected
+
+
+def test_only_the_last_table_is_left(spark):
+    shared = Path(shared_folder(spark))
+    before = set(shared.glob("stages-*"))
+    packed = corpus_pipeline.run(spark, SMALL)
+    assert [p.name for folder in set(shared.glob("stages-*")) - before for p in folder.iterdir()] == ["packing"]
+    assert packed.count() > 0
+
+
+def test_ids_and_columns_stay_as_they_are(spark, labels, tmp_path):
+    """Longs next to a null stay the same longs, and columns of the stages' own names stay."""
+    ids_ = [2**60 + 1, 2**60 + 3, None, 2**53 + 1, 7]
+    texts = ["mail a.b@c.de or +1 (988) 555-2485 please", "some words of prose that stand alone", "x y", None, "A longer text, of one line."]
+    named = {"score": 1, "score_": 2, "row": 3, "row_": 4, "copy": 5, "copy_": 6, "copies": 7, "path": 8, "number": 9, "base": 10, "passages": 11}
+    docs = spark.createDataFrame(list(zip(ids_, texts)), "doc_id long, text string").withColumns(
+        {"source": F.lit("s"), "n_chars": F.length("text").cast("bigint"), **{c: F.when(F.lit(True), F.col("doc_id") + v) for c, v in named.items()}}
+    )
+    docs.coalesce(1).write.parquet(f"{tmp_path}/docs")
+    for rows in (docs.coalesce(1), spark.read.parquet(f"{tmp_path}/docs")):
+        for found in (skipchain.personal_data(rows), gam.quality(rows, labels), toxicity.toxicity(rows, labels)):
+            assert sorted(r["doc_id"] or 0 for r in found.collect()) == sorted(i or 0 for i in ids_)
+        for stage in (gam.kept_by_quality(rows, labels, -1.0), skipchain.masked(rows), jaccard.representatives(rows), mixing.mixture(spark, rows)):
+            assert stage.columns == docs.columns
+            for r in stage.collect():
+                assert r["doc_id"] in ids_ and all(r[c] == (None if r["doc_id"] is None else r["doc_id"] + v) for c, v in named.items())
+
+
+def test_row_keys_do_not_depend_on_the_split(spark, tmp_path):
+    path = f"{tmp_path}/rows"
+    spark.range(20_000, numPartitions=3).withColumn("text", F.sha2(F.col("id").cast("string"), 256)).write.parquet(path)
+    found = []
+    for size in ("128m", "64k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        found.append(sorted(map(tuple, with_row_key(spark.read.parquet(path), "key", Stages(spark)).select("id", "key").collect())))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] and len({k for _, k in found[0]}) == 20_000
+
+
+def test_pieces_of_a_round_are_one(spark):
+    """A sequence holds one piece per document and run of rounds, not one per packet."""
+    ship_code(spark)
+    rows = [(k, "word " * 3000, "a" if k % 2 else "b") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    tokenised = packing.tokenise(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, spaces_kept=False)
+    pieces = packing.pack(tokenised, 2048).collect()
+    assert sum(r["length"] for r in pieces) == sum(r["n_tokens"] for r in tokenised.collect())
+    assert len(pieces) <= 8 * 3001 // 1024 * 3
+    shares = {}
+    for r in pieces:
+        shares.setdefault(r["sequence_id"], {}).setdefault(r["stratum"], []).append(r["length"])
+    for sequence, found in shares.items():
+        if sequence < max(shares):
+            assert all(abs(sum(v) - 1024) <= packing.PACKET for v in found.values())

@@ -476,8 +476,8 @@ def confusion_table(spark, sf_dir):
 
 @query
 def similar_biclusters(spark, sf_dir):
-    _, found = sim.similar_value_biclusters(mat.orders_by_line(spark, sf_dir), THETA, mat.MINSUP, 2)
-    return found.select(*rows_of(), joined("cols"), "n_cols", "value_min", "value_max")
+    sets, found = sim.similar_value_biclusters(mat.orders_by_line(spark, sf_dir), THETA, mat.MINSUP, 2)
+    return sets.with_row_ends(found).select(*rows_of(), joined("cols"), "n_cols", "value_min", "value_max")
 
 
 @query

@@ -97,6 +97,7 @@ class ClosedSets:
     ``cut``       (bucket_id, row_id, node, cand): transactions less their rare items
     ``groups``    (tid, node, cand, weight, row set parts): equal transactions merged
     ``steps``     per level below the root, (occurrences of its parents, its nodes)
+    ``rows``      (row_id) of the whole matrix, also those in no transaction, if known
     """
 
     concepts: DataFrame
@@ -106,6 +107,7 @@ class ClosedSets:
     groups: DataFrame
     steps: list[tuple[DataFrame, DataFrame]]
     stages: Stages
+    rows: DataFrame | None = None
 
     def occurrences(self, concepts: DataFrame | None = None) -> DataFrame:
         """``(level, node, tid)``: the transaction groups of each concept.
@@ -187,6 +189,7 @@ def closed_itemsets(
     max_level: int | None = None,
     stages: Stages | None = None,
     by_joins: bool | None = None,
+    rows: DataFrame | None = None,
 ) -> ClosedSets:
     """All closed itemsets with at least ``minsup`` rows and ``min_cols`` items, per range.
 
@@ -199,6 +202,7 @@ def closed_itemsets(
     the call fails rather than return a part of the result. Items that are columns are
     limited by the width of the matrix, so the steps keep them in arrays; ``col#value``
     items have no such limit and go by joins. ``by_joins`` sets this for any items.
+    ``rows`` are the ``row_id`` of the whole matrix, which the result carries on.
     """
     if minsup < 1:
         raise ValueError("minsup must be at least 1")
@@ -241,7 +245,7 @@ def closed_itemsets(
         DataFrame.unionByName,
         [t.select(*NODE, "bucket_id", "cols", F.size("cols").alias("n_cols"), "n_rows") for t in found],
     ).where(F.col("n_cols") >= max(min_cols, 1))
-    return ClosedSets(concepts, members, steps.roots, cut, groups, passed, stages)
+    return ClosedSets(concepts, members, steps.roots, cut, groups, passed, stages, rows)
 
 
 def _levels(max_level: int | None) -> Iterator[int]:

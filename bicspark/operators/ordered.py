@@ -8,6 +8,8 @@ are partitions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +41,13 @@ def before(rows: DataFrame, group: list[str], order: list[str], values: dict[str
     cut = stages.new_table(cut, "ordered")
     parts = cut.groupBy(*group, "part_").agg(*[_AGGREGATES[how](f"{name}_").alias(f"{name}_0") for name, (how, _) in values.items()])
     earlier = Window.partitionBy(*group).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select(*group, "part_", *[_AGGREGATES[how](f"{name}_0").over(earlier).alias(f"{name}_0") for name, (how, _) in values.items()])
+    starts = parts.select(
+        *[F.col(c).alias(f"{c}_0") for c in [*group, "part_"]],
+        *[_AGGREGATES[how](f"{name}_0").over(earlier).alias(f"{name}_0") for name, (how, _) in values.items()],
+    )
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_0")) for c in [*group, "part_"]])
     own = Window.partitionBy(*group, "part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return cut.join(starts, [*group, "part_"]).select(
+    return cut.join(starts, same).select(
         *columns,
         *[_combined(how, F.col(f"{name}_0"), _AGGREGATES[how](f"{name}_").over(own)).alias(name) for name, (how, _) in values.items()],
     )

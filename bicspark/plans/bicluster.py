@@ -41,16 +41,21 @@ def mine(
     max_level: int | None = None,
     by_joins: bool | None = None,
     stages: Stages | None = None,
+    rows: DataFrame | None = None,
     **bucket_options,
 ) -> ClosedSets:
     """Closed itemsets of the ranges of a matrix, given as cells or sorted rows.
 
+    ``rows`` names the rows of the whole matrix, if it has some without cells; otherwise
+    they are the ``row_id`` of ``matrix``.
+
     ``mining_min_cols`` prunes rows before the search. It leaves the sets of at
     least that many columns as they are, but smaller ones are no longer counted
     in ``n_sets`` and ``n_dup``.
     """
     trans = transactions(bucketed_triples(matrix, grid, **bucket_options), item)
-    return closed_itemsets(trans, minsup, mining_min_cols, max_level, stages, by_joins)
+    rows = (matrix if rows is None else rows).select("row_id").distinct()
+    return closed_itemsets(trans, minsup, mining_min_cols, max_level, stages, by_joins, rows)
 
 
 def biclusters(

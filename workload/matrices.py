@@ -5,7 +5,7 @@ All values are whole numbers, so that no mean or variance is a rounding tie.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bicspark.operators.grid import range_grid
@@ -15,6 +15,8 @@ ORDER_GRID = range_grid(0, 200, 10, 2)
 ORDER_GRID_TO_60 = range_grid(0, 60, 10, 2)
 PART_GRID = range_grid(0, 400, 20, 4)
 VECTOR_GRID = range_grid(-60, 60, 5, 1)
+LETTER_GRID = range_grid(0, 200, 20, 2)
+LETTERS = "entaosrd"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,3 +58,29 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "label")
+
+
+def vector_beginnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(row_id, values)``: the first five elements of every vector, not rounded."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("row_id"),
+        F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double")).alias("values"),
+    )
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+
+
+def letter_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of documents: how many of 1,000 characters are one of :data:`LETTERS`.
+
+    Empty and missing texts have no cells.
+    """
+    length = F.length("text")
+
+    def share(letter: str) -> Column:
+        return F.floor(1000 * (length - F.length(F.replace("text", F.lit(letter), F.lit("")))) / length).cast("double")
+
+    cells = F.array(*[F.struct(F.lit(k).alias("col"), share(c).alias("value")) for k, c in enumerate(LETTERS)])
+    return documents(spark, sf_dir).where(length > 0).select("row_id", F.inline(cells))

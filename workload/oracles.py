@@ -6,7 +6,8 @@ rows, less those that a superset with as many rows covers.
 
 from __future__ import annotations
 
-from workload.queries import LITERAL_GRID, SEEDS, THETA
+from workload.matrices import LETTERS
+from workload.queries import FIRST_STAGE_COLS, LITERAL_GRID, SEEDS, THETA, VECTOR_THETA
 
 MINSUP = 10
 
@@ -180,19 +181,25 @@ def votes(prefix: str, concepts: str) -> str:
   LEFT JOIN {prefix}chosen c ON c.row_id = e.vec_id)"""
 
 
-VECTOR_SETS = chain(VECTORS, TRIPLES, VECTOR_GRID, LAST, ITEMS, CLOSED) + f""",
+def vector_sets(least_cols: int = 2) -> str:
+    return chain(VECTORS, TRIPLES, VECTOR_GRID, LAST, ITEMS, CLOSED) + f""",
 concepts AS (
-  SELECT DISTINCT row_ids, cols, n_cols, n_rows FROM closed WHERE n_cols >= 2),
+  SELECT DISTINCT row_ids, cols, n_cols, n_rows FROM closed WHERE n_cols >= {least_cols}),
 {votes('', 'concepts')}"""
 
-# Blocks [v, v + theta] take the place of the ranges.
-BLOCKS = f"""block_items AS (
+
+VECTOR_SETS = vector_sets()
+
+
+def blocks(cells: str = "cells") -> str:
+    """Blocks [v, v + theta], which take the place of the ranges."""
+    return f"""block_items AS (
   SELECT b.v AS bucket_id, c.col AS item, c.row_id, c.value
-  FROM cells c JOIN (SELECT DISTINCT value AS v FROM cells) b
+  FROM {cells} c JOIN (SELECT DISTINCT value AS v FROM {cells}) b
     ON b.v <= c.value AND c.value - b.v <= {THETA})"""
 
 
-def similar(prefix: str) -> str:
+def similar(prefix: str, cells: str = "cells") -> str:
     """Closed sets that come out of every block which holds their span."""
     return f"""{prefix}found AS (
   SELECT row_ids, cols, n_cols, n_rows, count(*) AS n_found FROM {prefix}closed WHERE n_cols >= 2 GROUP BY ALL),
@@ -200,11 +207,11 @@ def similar(prefix: str) -> str:
   SELECT f.row_ids, f.cols, min(c.value) AS value_min, max(c.value) AS value_max
   FROM (SELECT row_ids, cols, row_id, unnest(cols) AS col
         FROM (SELECT row_ids, cols, unnest(row_ids) AS row_id FROM {prefix}found)) f
-  JOIN cells c ON c.row_id = f.row_id AND c.col = f.col GROUP BY 1, 2),
+  JOIN {cells} c ON c.row_id = f.row_id AND c.col = f.col GROUP BY 1, 2),
 {prefix}similar AS (
   SELECT f.row_ids, f.cols, f.n_cols, f.n_rows, s.value_min, s.value_max
   FROM {prefix}found f JOIN {prefix}spans s USING (row_ids, cols)
-  WHERE n_found = (SELECT count(*) FROM (SELECT DISTINCT value AS v FROM cells)
+  WHERE n_found = (SELECT count(*) FROM (SELECT DISTINCT value AS v FROM {cells})
                    WHERE v <= s.value_min AND s.value_max - v <= {THETA}))"""
 
 
@@ -222,10 +229,13 @@ def renamed(sql: str, prefix: str) -> str:
 
 BLOCK_CLOSED = renamed(CLOSED, "b_")
 
-COMBINED = f"""{VECTOR_SETS},
-{BLOCKS},
+# Only rows without a prediction, whose labels were not used, are mined in the second stage.
+COMBINED = f"""{vector_sets(FIRST_STAGE_COLS)},
+open_cells AS (
+  SELECT * FROM cells SEMI JOIN (SELECT row_id FROM predicted WHERE predicted IS NULL AND NOT is_training) USING (row_id)),
+{blocks('open_cells')},
 {BLOCK_CLOSED},
-{similar('b_')},
+{similar('b_', 'open_cells')},
 {votes('b_', 'b_similar')},
 combined AS (
   SELECT row_id, f.actual, f.is_training OR s.is_training AS is_training,
@@ -233,6 +243,49 @@ combined AS (
               ELSE coalesce(f.predicted, s.predicted) END AS predicted
   FROM predicted f JOIN b_predicted s USING (row_id))"""
 
+# Windows [v, v + theta] of the rows' spans, for every set of the first five columns.
+SIMILAR_VECTORS = f"""
+WITH cells AS (
+  SELECT vec_id AS row_id, i AS col, embedding[i + 1]::DOUBLE AS value FROM embeddings, range(5) t(i)),
+col_sets AS (SELECT m FROM range(1, 32) t(m)),
+spans AS (
+  SELECT m, row_id, min(value) AS low, max(value) AS high FROM col_sets JOIN cells ON (m >> col) & 1 = 1
+  GROUP BY 1, 2 HAVING count(*) = bit_count(m) AND max(value) - min(value) <= {VECTOR_THETA}),
+windows AS (
+  SELECT w.m, w.low AS value_min, max(s.high) AS value_max, list(row_id ORDER BY row_id) AS row_ids, count(*) AS n_rows
+  FROM (SELECT DISTINCT m, low FROM spans) w JOIN spans s ON s.m = w.m AND s.low >= w.low AND s.high - w.low <= {VECTOR_THETA}
+  GROUP BY 1, 2 HAVING count(*) >= {MINSUP}),
+full_rows AS (
+  SELECT * FROM windows w WHERE NOT EXISTS (
+    SELECT 1 FROM spans s WHERE s.m = w.m AND s.low < w.value_min AND w.value_max - s.low <= {VECTOR_THETA})),
+full_both AS (
+  SELECT * FROM full_rows w WHERE bit_count(m) >= 2 AND NOT EXISTS (
+    SELECT 1 FROM full_rows x WHERE x.row_ids = w.row_ids AND x.m & w.m = w.m AND x.m <> w.m))
+SELECT {ROWS}, array_to_string(list_filter(range(5), lambda i: (m >> i) & 1 = 1), ',') AS cols, bit_count(m)::INT AS n_cols,
+  value_min, value_max
+FROM full_both"""
+
+LETTER_CELLS = "cells AS (" + " UNION ALL ".join(
+    f"SELECT doc_id AS row_id, {k} AS col, floor(1000 * (length(text) - length(replace(text, '{c}', ''))) / length(text))::DOUBLE AS value "
+    "FROM documents WHERE length(text) > 0"
+    for k, c in enumerate(LETTERS)
+) + ")"
+LETTER_CLOSED = chain(LETTER_CELLS, TRIPLES, grid(20, 10, 2), LAST, ITEMS, CLOSED)
+PREDICTED_DOCUMENTS = f"""{LETTER_CLOSED},
+concepts AS (SELECT DISTINCT row_ids, cols FROM closed WHERE n_cols >= 3),
+known AS (SELECT doc_id AS row_id, max(quality) AS label FROM labels GROUP BY 1),
+seeds AS (SELECT row_ids, cols, unnest(row_ids[:{SEEDS}]) AS row_id FROM concepts),
+judged AS (
+  SELECT row_ids, cols, min(label) AS label FROM seeds LEFT JOIN known USING (row_id) GROUP BY 1, 2
+  HAVING count(label) = count(*) AND min(label) = max(label)),
+chosen AS (
+  SELECT row_id, label FROM (SELECT unnest(row_ids) AS row_id, label FROM judged) GROUP BY 1, 2
+  QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY count(*) DESC, label) = 1)
+SELECT row_id, k.label AS actual, s.row_id IS NOT NULL AS is_training,
+  coalesce(CASE WHEN s.row_id IS NOT NULL THEN k.label END, c.label) AS predicted
+FROM (SELECT DISTINCT doc_id AS row_id FROM documents UNION SELECT row_id FROM known)
+LEFT JOIN known k USING (row_id) LEFT JOIN (SELECT DISTINCT row_id FROM seeds) s USING (row_id) LEFT JOIN chosen c USING (row_id)"""
+
 # Closed sets and the rare items, each once over all ranges.
 EVERY = f"""{VALUED_CONCEPTS},
 rare AS (
@@ -384,8 +437,10 @@ SELECT is_training, actual, predicted, count(*) AS n FROM predicted GROUP BY 1,
 SELECT actual, {", ".join(f'count(*) FILTER (predicted = {i}) AS "{i}"' for i in range(10))},
   count(*) FILTER (predicted IS NULL) AS "none"
 FROM predicted WHERE NOT is_training GROUP BY 1""",
-    "similar_biclusters": chain(ORDERS, BLOCKS, BLOCK_CLOSED, similar("b_"))
+    "similar_biclusters": chain(ORDERS, blocks(), BLOCK_CLOSED, similar("b_"))
     + f" SELECT {ROWS}, {COLS}, n_cols, value_min, value_max FROM b_similar",
+    "similar_vectors": SIMILAR_VECTORS,
+    "predicted_documents": PREDICTED_DOCUMENTS,
     "combined_predictions": f"{COMBINED} SELECT * FROM combined",
     "combined_training_labels": f"{COMBINED} SELECT row_id, actual AS label FROM combined WHERE is_training",
     "combined_confusion_matrix": f"""{COMBINED}

@@ -17,7 +17,7 @@ from bicspark.operators import predict as pre
 from bicspark.operators import similar as sim
 from bicspark.operators import triples as tri
 from bicspark.plans.bicluster import biclusters, bucketed_triples, mine
-from bicspark.plans.labels import predict_labels
+from bicspark.plans.labels import predict_in_two_stages, predict_labels
 from bicspark.plans.stages import Stages
 from workload import matrices as mat
 
@@ -29,6 +29,10 @@ QUERIES: dict[str, Query] = {}
 LITERAL_GRID = "0.00:20.00,20.00:45.50,40.25:66.00,66.33:33.66,70.00:150.00,0.00:20.00"
 SEEDS = 2
 THETA = 3.0
+#: For values that are not rounded.
+VECTOR_THETA = 0.05
+#: Concepts of fewer columns don't predict in the first of two stages.
+FIRST_STAGE_COLS = 3
 
 
 def query(function: Query) -> Query:
@@ -474,19 +478,34 @@ def confusion_table(spark, sf_dir):
     return pre.confusion_table(confusion_matrix(spark, sf_dir), list(range(10)))
 
 
+@query
+def predicted_documents(spark, sf_dir):
+    docs = mat.documents(spark, sf_dir)
+    closed = mine(mat.letter_shares(spark, sf_dir), mat.LETTER_GRID, mat.MINSUP, mining_min_cols=3, rows=docs)
+    concepts = con.min_cols(con.distinct_concepts(con.number_row_sets(closed)), 3)
+    labels = mat.table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("row_id")).agg(F.max("quality").alias("label"))
+    return predict_labels(closed, concepts, labels, SEEDS)
+
+
 @query
 def similar_biclusters(spark, sf_dir):
     sets, found = sim.similar_value_biclusters(mat.orders_by_line(spark, sf_dir), THETA, mat.MINSUP, 2)
     return sets.with_row_ends(found).select(*rows_of(), joined("cols"), "n_cols", "value_min", "value_max")
 
 
+@query
+def similar_vectors(spark, sf_dir):
+    cells = cel.to_cells(mat.vector_beginnings(spark, sf_dir), values="values")
+    sets, found = sim.similar_value_biclusters(cells, VECTOR_THETA, mat.MINSUP, 2)
+    return sets.with_row_ends(found).select(*rows_of(), joined("cols"), "n_cols", "value_min", "value_max")
+
+
 @query
 def combined_predictions(spark, sf_dir):
-    labels = mat.vector_labels(spark, sf_dir)
-    first = vector_votes(*vector_sets(spark, sf_dir), labels)
+    closed, concepts = vector_sets(spark, sf_dir)
     cells = cel.to_cells(mat.vectors(spark, sf_dir), values="values")
-    second = vector_votes(*sim.similar_value_biclusters(cells, THETA, mat.MINSUP, 2), labels)
-    return pre.combine_predictions(first, second)
+    first = con.min_cols(concepts, FIRST_STAGE_COLS)
+    return predict_in_two_stages(closed, first, cells, mat.vector_labels(spark, sf_dir), THETA, mat.MINSUP, 2, SEEDS)
 
 
 @query

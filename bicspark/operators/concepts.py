@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bicspark.operators.itemsets import NODE, ROW_SET, ClosedSets, subsupport_items
+from bicspark.operators.ordered import positions
 from bicspark.plans.stages import Stages
 
 # A row set's number is the (level, node) of one concept that has exactly these rows.
@@ -20,8 +21,8 @@ def number_row_sets(closed: ClosedSets, exact: bool = True, stages: Stages | Non
 
     Two concepts get the same id if and only if they have the same rows. Within a
     range that never happens, so a group holds at most one concept per range.
-    Candidates agree in size, ends and hashes; with ``exact`` each is then matched
-    row by row with the first of its group, by an equi-join on the row.
+    Candidates agree in size, ends and hashes; with ``exact`` the rows that each shares
+    with the first of its group are counted, by the cells of their transaction groups.
     """
     stages = stages or Stages(closed.concepts.sparkSession)
     first = F.min(F.struct(*NODE)).over(Window.partitionBy(*ROW_SET))
@@ -48,17 +49,36 @@ def number_row_sets(closed: ClosedSets, exact: bool = True, stages: Stages | Non
 
 
 def _unlike(closed: ClosedSets, followers: DataFrame) -> DataFrame:
-    """Followers whose rows are not all rows of the first concept of their group."""
-    firsts = followers.select(F.col("rows_level").alias("level"), F.col("rows_node").alias("node")).distinct()
-    first_rows = closed.extents(firsts).toDF(*ROWS_ID, "row_id")
-    own_rows = closed.extents(followers).join(followers.select(*NODE, *ROWS_ID), NODE)
-    shared = own_rows.join(first_rows, [*ROWS_ID, "row_id"]).groupBy(*NODE).agg(F.count("*").alias("n_shared"))
-    return (
-        followers.select(*NODE, *ROWS_ID, "n_rows")
-        .join(shared, NODE, "left")
-        .where(F.coalesce("n_shared", F.lit(0)) < F.col("n_rows"))
-        .select(*NODE, *ROWS_ID)
+    """Followers whose rows are not all rows of the first concept of their group.
+
+    No concept's rows are listed. The transaction groups of one range and of another cut
+    the rows into cells, and the number of rows in each cell is counted once for all
+    concepts of the two ranges. Concepts then meet on their groups: the rows that two of
+    them share are the sum of the cells of their groups.
+    """
+    stages = closed.stages
+    pairs = followers.select(*NODE, *ROWS_ID, "bucket_id", "n_rows")
+    firsts = pairs.select(F.col("rows_level").alias("level"), F.col("rows_node").alias("node")).distinct()
+    first_ranges = firsts.join(closed.concepts, NODE).select(*NODE, F.col("bucket_id").alias("first_bucket")).toDF(*ROWS_ID, "first_bucket")
+    ranges = pairs.join(first_ranges, ROWS_ID).select("bucket_id", "first_bucket").distinct()
+    rows = closed.row_groups()
+    first_rows = rows.select(F.col("bucket_id").alias("first_bucket"), "row_id", F.col("tid").alias("first_tid"))
+    cells = (
+        rows.join(ranges, "bucket_id")
+        .join(first_rows, ["row_id", "first_bucket"])
+        .groupBy("tid", "first_tid")
+        .agg(F.count("*").alias("n_shared"))
+    )
+    cells = stages.new_table(cells, "cells")
+    first_groups = closed.occurrences(firsts).toDF(*ROWS_ID, "first_tid")
+    own_groups = closed.occurrences(pairs).join(pairs.select(*NODE, *ROWS_ID), NODE)
+    shared = (
+        own_groups.join(cells, "tid")
+        .join(first_groups, [*ROWS_ID, "first_tid"], "left_semi")
+        .groupBy(*NODE)
+        .agg(F.sum("n_shared").alias("n_shared"))
     )
+    return pairs.join(shared, NODE, "left").where(F.coalesce("n_shared", F.lit(0)) < F.col("n_rows")).select(*NODE, *ROWS_ID)
 
 
 def distinct_concepts(numbered: DataFrame) -> DataFrame:
@@ -160,3 +180,12 @@ def rank_concepts(distinct: DataFrame, least_cols: int = 1, limit: int | None =
         .orderBy(*rank_keys())
     )
     return ranked if limit is None else ranked.limit(limit)
+
+
+def with_position(ranked: DataFrame, stages: Stages | None = None, name: str = "position") -> DataFrame:
+    """Ranked concepts with their place in the ranking, from 1, without gaps.
+
+    Takes :func:`rank_concepts`' columns in any order. Places come from counts of range
+    partitions, so no task sees the whole ranking.
+    """
+    return positions(ranked, rank_keys(), stages or Stages(ranked.sparkSession), name)

@@ -128,6 +128,53 @@ def _search(x: Column, cuts: list[float], leaves: list, leaf: Callable[..., Colu
     )
 
 
+def assign_ranges(
+    stats: DataFrame,
+    ranges: DataFrame,
+    mode: str = "all",
+    drop_unmatched: bool = False,
+    on: str = "mean2",
+) -> DataFrame:
+    """As :func:`assign_bucket`, with a table ``(bucket_id, lo, hi)`` of any number of ranges.
+
+    A range is known in the grid of cells whose width is the power of two next above its
+    own, of which it touches at most two. A value is looked up once for each width that
+    occurs, so ranges of all sizes, nested or overlapping, meet their values in an
+    equi-join. ``mode='last'`` takes the matching range of the largest ``bucket_id``, and
+    looks up each distinct value once. Ranges with a null, NaN or infinite end or
+    ``lo > hi`` hold nothing; values that are null or NaN match nothing.
+    """
+    if mode not in ("last", "all"):
+        raise ValueError("mode is 'last' or 'all'")
+    lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
+    finite = (F.abs(lo) < F.lit(math.inf)) & (F.abs(hi) < F.lit(math.inf)) & (lo <= hi)
+    # The width is at least 2**-40 of the ends, so that cells can be told apart.
+    wide = F.greatest(hi - lo, F.abs(lo) * F.lit(2.0**-40), F.abs(hi) * F.lit(2.0**-40), F.lit(2.0**-1000))
+    live = ranges.where(finite).select("bucket_id", lo.alias("lo"), hi.alias("hi"), (F.floor(F.log2(wide)) + 1).alias("width"))
+    widths = [r["width"] for r in live.select("width").distinct().collect()]  # one per power of two
+
+    def cell(x: Column, width: Column) -> Column:
+        return F.floor(x / F.pow(F.lit(2.0), width))
+
+    cells = live.select("*", F.explode(F.sequence(cell(F.col("lo"), F.col("width")), cell(F.col("hi"), F.col("width")))).alias("cell"))
+    own = "value_"
+    while own in stats.columns:
+        own += "_"
+    values = stats.select(F.col(on).cast("double").alias(own)).where(~F.isnan(own)) if mode == "last" else stats.where(
+        ~F.isnan(on)
+    ).withColumn(own, F.col(on).cast("double"))
+    if mode == "last":
+        values = values.distinct()
+    asked = values.select("*", F.explode(F.array(*[F.lit(w) for w in widths]).cast("array<bigint>")).alias("width"))
+    asked = asked.withColumn("cell", cell(F.col(own), F.col("width")))
+    matched = asked.join(cells, ["width", "cell"]).where((F.col("lo") <= F.col(own)) & (F.col(own) <= F.col("hi")))
+    if mode == "all":
+        return matched.select(*stats.columns, "bucket_id")
+    last = matched.groupBy(own).agg(F.max("bucket_id").alias("bucket_id"))
+    found = stats.withColumn(own, F.col(on).cast("double")).join(last, own, "inner" if drop_unmatched else "left")
+    return found.select(*stats.columns, F.coalesce("bucket_id", F.lit(UNMATCHED)).alias("bucket_id"))
+
+
 def max_cv(stats: DataFrame, limit: float | None, abs_mean: bool = False) -> DataFrame:
     """Keep triples with ``cv <= limit``; ``None`` keeps all.
 

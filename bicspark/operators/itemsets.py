@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,9 +136,16 @@ class ClosedSets:
         return reduce(DataFrame.unionByName, parts)
 
     def row_groups(self) -> DataFrame:
-        """``(bucket_id, row_id, tid)``: the transaction group of each row, per range."""
+        """``(bucket_id, row_id, tid)``: the transaction group of each row, per range.
+
+        Written once, as several steps need it.
+        """
+        return self._row_groups
+
+    @cached_property
+    def _row_groups(self) -> DataFrame:
         group = self.groups.select("node", "cand", "tid")
-        return self.cut.join(group, ["node", "cand"]).select("bucket_id", "row_id", "tid")
+        return self.stages.new_table(self.cut.join(group, ["node", "cand"]).select("bucket_id", "row_id", "tid"), "row-groups")
 
     def extents(self, concepts: DataFrame | None = None) -> DataFrame:
         """``(level, node, row_id)``: the rows of each concept, in long form."""
@@ -304,6 +311,90 @@ def closed_filter(itemsets: DataFrame) -> DataFrame:
     return itemsets.join(shorter, ["bucket_id", "cols", "n_rows"], "left_anti")
 
 
+def itemset_rows(itemsets: DataFrame, trans: DataFrame) -> DataFrame:
+    """Any collection of itemsets ``(bucket_id, cols)`` with the :data:`ROW_SET` columns of each.
+
+    A row has an itemset if it has as many of its items as it has items. Equal
+    transactions are merged with a weight first, so what meets the itemsets' items are
+    groups of rows, not rows. Itemsets without a row are left out, empty ones too;
+    repeated ones come once.
+    """
+    stages = Stages(trans.sparkSession)
+    groups = trans.groupBy("bucket_id", "items").agg(*_row_set_parts())
+    groups = stages.table(groups.select(F.monotonically_increasing_id().alias("tid"), "*"), "merged")
+    wanted = stages.table(itemsets.select("bucket_id", F.sort_array(F.array_distinct("cols")).alias("cols")).distinct().select(
+        F.monotonically_increasing_id().alias("set"), "*"
+    ), "itemsets")
+    by_item = wanted.select("bucket_id", "set", F.size("cols").alias("n_items"), F.explode("cols").alias("item"))
+    having = (
+        groups.select("bucket_id", "tid", F.explode("items").alias("item"))
+        .join(by_item, ["bucket_id", "item"])
+        .groupBy("set", "tid")
+        .agg(F.count("*").alias("n"), F.first("n_items").alias("n_items"))
+        .where(F.col("n") == F.col("n_items"))
+        .select("set", "tid")
+    )
+    rows = having.join(groups.drop("bucket_id", "items"), "tid").groupBy("set").agg(*_merge_row_sets())
+    return wanted.join(rows, "set").drop("set")
+
+
+def subsumption_filter(itemsets: DataFrame, trans: DataFrame) -> DataFrame:
+    """Of any collection of itemsets, those that no larger one of it has the rows of.
+
+    Unlike :func:`closed_filter` it needs no complete collection: a set goes also where
+    the sets between it and the larger one are missing. Sets meet on their range and
+    :data:`ROW_SET`, so only sets of the same rows are compared, by containment. Returns
+    ``(bucket_id, cols, n_rows, ...)``.
+    """
+    stages = Stages(trans.sparkSession)
+    known = stages.table(itemset_rows(itemsets, trans), "known")
+    keys = ["bucket_id", *ROW_SET]
+    larger = known.select(*[F.col(c).alias(f"{c}_") for c in keys], F.col("cols").alias("more"))
+    covered = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in keys] + [
+        F.size("cols") < F.size("more"),
+        F.size(F.array_except("cols", "more")) == 0,
+    ]
+    return known.join(larger, reduce(Column.__and__, covered), "left_anti")
+
+
+def row_bitmaps(trans: DataFrame) -> DataFrame:
+    """``(bucket_id, item, chunk, bits)``: the row set of each item as bitmaps of 32,768 rows.
+
+    A row set costs 4 kB per chunk that it touches, whatever its size, so it suits ids that
+    lie close together. Bitmaps are built in each task and united after the shuffle.
+    """
+    return item_tidsets(trans).groupBy("bucket_id", "item", F.bitmap_bucket_number("row_id").alias("chunk")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("row_id")).alias("bits")
+    )
+
+
+def common_rows(trans: DataFrame, size: int = 3, minsup: int = 1) -> DataFrame:
+    """``(bucket_id, items, n_rows)``: the rows that each ``size`` items of a range share.
+
+    The bitmaps of a chunk's items come together, at most one per item, and every choice
+    of ``size`` of them is intersected there and counted. No row id is joined. Choices
+    grow with the number of items to that power, so it is for few items, as columns are.
+    """
+    if size < 1:
+        raise ValueError("size must be at least 1")
+    chunks = row_bitmaps(trans).groupBy("bucket_id", "chunk").agg(F.sort_array(F.collect_list("item")).alias("all_items"))
+    chosen = chunks.select("*", F.transform("all_items", lambda i: F.array(i)).alias("sets"))
+    for _ in range(size - 1):
+        longer = F.flatten(
+            F.transform(
+                "sets",
+                lambda s: F.transform(
+                    F.filter("all_items", lambda i: i > F.element_at(s, -1)), lambda i: F.array_append(s, i)
+                ),
+            )
+        )
+        chosen = chosen.withColumn("sets", longer)
+    one = chosen.select("bucket_id", "chunk", F.explode("sets").alias("items"))
+    parts = one.select("*", F.explode("items").alias("item")).join(row_bitmaps(trans), ["bucket_id", "chunk", "item"])
+    shared = parts.groupBy("bucket_id", "chunk", "items").agg(F.bitmap_count(F.bitmap_and_agg("bits")).alias("n"))
+    return shared.groupBy("bucket_id", "items").agg(F.sum("n").alias("n_rows")).where(F.col("n_rows") >= minsup)
+
+
 def subsupport_items(trans: DataFrame, minsup: int) -> DataFrame:
     """Single items with fewer than ``minsup`` rows: ``(bucket_id, rows, cols)``.
 

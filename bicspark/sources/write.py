@@ -1,7 +1,7 @@
 """Writers, and the text lines they write.
 
-A text line that lists rows or triples is bounded: what is larger than the given
-length is spread evenly over several lines, so no task gathers a hot group whole.
+A text line that lists rows or triples is bounded: it has those of one block of row ids,
+and further blocks go on further lines, so no task gathers a hot group whole.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ def prepared_lines(sorted_rows: DataFrame) -> DataFrame:
 def bucket_lines(bucketed: DataFrame, per_line: int = 10_000) -> DataFrame:
     """``range TAB triple;triple;...`` of triples with a ``bucket`` label.
 
-    A range with up to ``per_line`` triples is one line.
+    A line has the triples of rows whose ids agree in ``row_id div per_line``, whatever the
+    size of the range, so lines are made in one pass and never gather a range.
     """
-    sizes = bucketed.groupBy("bucket").agg(F.count("*").alias("n"))
     triples = bucketed.select(
         "bucket",
         F.col("row_id"),
@@ -34,40 +34,42 @@ def bucket_lines(bucketed: DataFrame, per_line: int = 10_000) -> DataFrame:
         triple_text(F.col("variance7"), F.col("cols"), F.col("values"), F.col("row_id")).alias("triple"),
     )
     return (
-        triples.join(sizes, "bucket")
-        .withColumn("line", _line("n", per_line, F.xxhash64("row_id", "pos")))
-        .groupBy("bucket", "line")
+        triples.groupBy("bucket", _block(per_line).alias("line"))
         .agg(F.sort_array(F.collect_list(F.struct("row_id", "pos", "triple"))).alias("triples"))
         .select(F.concat("bucket", F.lit("\t"), F.array_join(F.col("triples.triple"), ";")).alias("value"))
     )
 
 
-def concept_lines(closed: ClosedSets, concepts: DataFrame, per_line: int = 100_000) -> DataFrame:
+def concept_lines(closed: ClosedSets, concepts: DataFrame, per_line: int = 100_000, item_order: str = "value") -> DataFrame:
     """``rows,cols % n_rows,n_cols`` of concepts: ``(level, node, line, n_rows, n_cols, value)``.
 
-    A concept with up to ``per_line`` rows is one line. A larger one has several,
-    each with some of the rows, and with the columns and counts of the whole. If the
-    concepts have ``n_dup``, it follows as a third count. Ranked concepts keep the
-    columns that they are ranked by.
+    A line has the rows that agree in ``row_id div per_line``, and ``line`` is that number;
+    a concept with rows in several blocks has several lines, each with the columns and
+    counts of the whole. If the concepts have ``n_dup``, it follows as a third count.
+    Ranked concepts keep the columns that they are ranked by. ``item_order='text'``
+    writes the columns in the order of their text.
     """
+    if item_order not in ("value", "text"):
+        raise ValueError("item_order is 'value' or 'text'")
     ranked = [c for c in RANKED if c not in ("n_rows", "cols")] if set(RANKED) <= set(concepts.columns) else []
     counts = ["n_rows", "n_cols", *(["n_dup"] if "n_dup" in concepts.columns else [])]
     shape = concepts.select(*NODE, "cols", *counts, *ranked)
     rows = (
         closed.extents(concepts)
-        .join(shape.select(*NODE, "n_rows"), NODE)
-        .withColumn("line", _line("n_rows", per_line, F.xxhash64("row_id")))
-        .groupBy(*NODE, "line")
+        .groupBy(*NODE, _block(per_line).alias("line"))
         .agg(F.sort_array(F.collect_list("row_id")).alias("rows"))
     )
-    text = concept_text(F.col("rows"), F.col("cols"), *[F.col(c) for c in counts])
+    cols = F.col("cols") if item_order == "value" else F.sort_array(F.col("cols").cast("array<string>"))
+    text = concept_text(F.col("rows"), cols, *[F.col(c) for c in counts])
     return rows.join(shape, NODE).select(
         *NODE, "line", "n_rows", "n_cols", text.alias("value"), *ranked, *(["cols"] if ranked else [])
     )
 
 
-def _line(n: str, per_line: int, key: Column) -> Column:
-    return F.pmod(key, F.ceil(F.col(n) / F.lit(per_line)))
+def _block(per_line: int) -> Column:
+    if per_line < 1:
+        raise ValueError("per_line must be at least 1")
+    return F.expr(f"row_id div {per_line}L")
 
 
 def write_concepts(concepts: DataFrame, path: str, format: str = "parquet", files: int | None = None) -> None:

@@ -119,6 +119,9 @@ ORDER_ALL = chain(ORDERS, TRIPLES, ORDER_GRID, ALL)
 PART_CLOSED = chain(PARTS, TRIPLES, PART_GRID, LAST, ITEMS, CLOSED)
 PART_CONCEPTS = f"{PART_CLOSED},\n{CONCEPTS}"
 VALUED_CONCEPTS = f"{ORDER_LAST},\n{VALUED_ITEMS},\n{CLOSED},\n{CONCEPTS}"
+PART_RANGES = chain(PARTS, TRIPLES, """grid AS (
+  SELECT o_orderkey AS bucket_id, lo::DOUBLE AS lo, (lo + floor(o_totalprice)::BIGINT % 8)::DOUBLE AS hi
+  FROM (SELECT *, floor(o_totalprice / 10)::BIGINT % 200 AS lo FROM orders))""")
 RANKED = f"""{PART_CONCEPTS}
 SELECT {ROWS}, {COLS}, n_cols, n_sets
 FROM (SELECT *, count(*) OVER (PARTITION BY row_ids) AS n_sets FROM concepts) ranked
@@ -349,6 +352,13 @@ bucketed AS (
     "bucket_last_unmatched": chain(ORDERS, TRIPLES, grid(10, 6, 2), LAST)
     + f" SELECT row_id, pos, {LABEL} AS bucket FROM bucketed b",
     "bucket_all": ORDER_ALL + " SELECT row_id, pos, mean2, bucket_id FROM bucketed",
+    "ranges_all": f"""{PART_RANGES}
+SELECT g.bucket_id, count(*) AS n_triples, bit_xor(row_id) AS row_xor
+FROM stats JOIN grid g ON g.lo <= mean2 AND mean2 <= g.hi GROUP BY 1""",
+    "ranges_last": f"""{PART_RANGES}
+SELECT row_id, pos, mean2, coalesce(m.bucket_id, -1) AS bucket_id
+FROM stats LEFT JOIN (SELECT mean2, max(bucket_id) AS bucket_id FROM (SELECT DISTINCT mean2 FROM stats)
+                      JOIN grid ON lo <= mean2 AND mean2 <= hi GROUP BY 1) m USING (mean2)""",
     "cv_filtered_triples": ORDER_ALL + """
 SELECT row_id, pos, bucket_id, round(cv7, 6) AS cv
 FROM (SELECT *, sqrt(variance7) / mean AS cv7 FROM bucketed) WHERE cv7 <= 0.17""",
@@ -374,6 +384,24 @@ GROUP BY 1, 2, 3 HAVING count(*) >= {MINSUP}""",
     "closed_itemsets_by_joins": f"{PART_CLOSED} SELECT bucket_id, {COLS}, n_cols, n_rows FROM closed",
     "closed_filter": chain(TWICE, TRIPLES, ORDER_GRID, LAST, ITEMS, CLOSED)
     + f" SELECT bucket_id, {COLS}, n_cols, n_rows FROM closed",
+    # A set goes if a larger one of the collection is in all of its rows.
+    "subsumption_filter": f"""{chain(TWICE, TRIPLES, ORDER_GRID, LAST, ITEMS, CLOSED)},
+collection AS (SELECT bucket_id, cols, list_sort(tids) AS row_ids, len(tids) AS n_rows FROM sets WHERE len(cols) NOT IN (2, 4)),
+gone AS (
+  SELECT DISTINCT s.bucket_id, s.cols FROM collection s JOIN collection l
+  ON l.bucket_id = s.bucket_id AND l.n_rows = s.n_rows AND len(l.cols) > len(s.cols) AND list_has_all(l.cols, s.cols))
+SELECT bucket_id, {COLS}, len(cols)::INT AS n_cols, {ROWS} FROM collection ANTI JOIN gone USING (bucket_id, cols)""",
+    "common_rows": chain(PARTS, TRIPLES, PART_GRID, LAST, ITEMS) + f"""
+SELECT a.bucket_id, a.item || ',' || b.item || ',' || c.item AS items, count(*) AS n_rows
+FROM items a JOIN items b ON a.bucket_id = b.bucket_id AND a.row_id = b.row_id AND a.item < b.item
+JOIN items c ON c.bucket_id = b.bucket_id AND c.row_id = b.row_id AND b.item < c.item
+GROUP BY 1, 2 HAVING count(*) >= {MINSUP}""",
+    "concept_positions": f"""{PART_CONCEPTS},
+numbered AS (
+  SELECT *, {ROWS.replace('n_rows, ', '', 1)}, count(*) OVER (PARTITION BY row_ids) AS n_sets FROM concepts)
+SELECT n_rows, row_min, row_max, row_xor, {COLS}, n_sets,
+  row_number() OVER (ORDER BY n_rows DESC, n_sets DESC, row_min, row_max, row_xor, numbered.cols) AS position
+FROM numbered WHERE n_cols >= 4""",
     "subsupport_items": f"""{ORDER_LAST},\n{VALUED_ITEMS}
 SELECT bucket_id, array_to_string(row_ids, ',') AS rows, min(item) AS cols
 FROM (SELECT bucket_id, item, list(row_id ORDER BY row_id) AS row_ids

@@ -203,6 +203,28 @@ def bucket_all(spark, sf_dir):
     return order_triples(spark, sf_dir, mode="all").select("row_id", "pos", "mean2", "bucket_id")
 
 
+def part_ranges(spark, sf_dir):
+    """A range for every order, all of different widths: from a tenth of its price, up to 8 wide."""
+    price = F.col("o_totalprice")
+    lo = F.floor(price / 10) % 200
+    return mat.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("bucket_id"), lo.cast("double").alias("lo"), (lo + F.floor(price) % 8).cast("double").alias("hi")
+    )
+
+
+@query
+def ranges_all(spark, sf_dir):
+    stats = bucketed_triples(mat.parts_by_month(spark, sf_dir), mat.PART_GRID).drop("bucket_id")
+    found = gr.assign_ranges(stats, part_ranges(spark, sf_dir))
+    return found.groupBy("bucket_id").agg(F.count("*").alias("n_triples"), F.bit_xor("row_id").alias("row_xor"))
+
+
+@query
+def ranges_last(spark, sf_dir):
+    stats = bucketed_triples(mat.parts_by_month(spark, sf_dir), mat.PART_GRID).drop("bucket_id")
+    return gr.assign_ranges(stats, part_ranges(spark, sf_dir), "last").select("row_id", "pos", "mean2", "bucket_id")
+
+
 @query
 def cv_filtered_triples(spark, sf_dir):
     found = order_triples(spark, sf_dir, mode="all", cv_limit=0.17, mean_method="sum", cv_of="variance7")
@@ -281,6 +303,21 @@ def closed_filter(spark, sf_dir):
     return kept.select("bucket_id", joined("cols"), F.size("cols").alias("n_cols"), "n_rows")
 
 
+@query
+def subsumption_filter(spark, sf_dir):
+    """Of all frequent itemsets but those of two and four items."""
+    trans = its.transactions(bucketed_triples(mat.orders_by_line_twice(spark, sf_dir), mat.ORDER_GRID))
+    some = its.frequent_itemsets(trans, mat.MINSUP).where("size(cols) not in (2, 4)")
+    kept = its.subsumption_filter(some, trans)
+    return kept.select("bucket_id", joined("cols"), F.size("cols").alias("n_cols"), *rows_of())
+
+
+@query
+def common_rows(spark, sf_dir):
+    trans = its.transactions(bucketed_triples(mat.parts_by_month(spark, sf_dir), mat.PART_GRID))
+    return its.common_rows(trans, 3, mat.MINSUP).select("bucket_id", joined("items"), "n_rows")
+
+
 @query
 def subsupport_items(spark, sf_dir):
     trans = its.transactions(order_triples(spark, sf_dir), "col_value")
@@ -345,6 +382,12 @@ def ranked_concepts(spark, sf_dir):
     return ranked(spark, sf_dir)
 
 
+@query
+def concept_positions(spark, sf_dir):
+    _, found = biclusters(mat.parts_by_month(spark, sf_dir), mat.PART_GRID, mat.MINSUP, least_cols=4)
+    return con.with_position(found).select(*rows_of(), joined("cols"), "n_sets", "position")
+
+
 @query
 def top_concepts(spark, sf_dir):
     return ranked(spark, sf_dir, limit=20)

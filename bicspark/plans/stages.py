@@ -58,7 +58,7 @@ class Stages:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table."""
-        df.write.mode("error").parquet(self.path(name))
+        df.write.mode("error").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def new_table(self, df: DataFrame, name: str) -> DataFrame:

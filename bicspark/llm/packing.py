@@ -12,7 +12,10 @@ in a round are one piece.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,24 +25,34 @@ from bicspark.llm.prefix import SPAN, running
 from bicspark.plans.stages import Stages
 
 #: Tokens of a packet, by which a window may be off a source's share.
-PACKET = 128
+PACKET = 256
+
 
+def tokenise(docs: DataFrame, path: str, end_id: int, spaces_kept: bool, zipped: bool = False) -> DataFrame:
+    """``(doc_id, stratum, n_tokens, ids)``; ids are 32-bit little-endian, with the end id.
 
-def tokenise(docs: DataFrame, path: str, end_id: int, spaces_kept: bool) -> DataFrame:
-    """``(doc_id, stratum, n_tokens, ids)``; ids are 32-bit little-endian, with the end id."""
+    With ``zipped`` they are in a column of that name instead, each document's compressed
+    (zstd), as :func:`pack` writes and shuffles them.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    name = "zipped" if zipped else "ids"
+
     def encode(batches):
+        zip_ = zstandard.ZstdCompressor(level=1).compress
         for batch in token_ids.chunks(batches):
             ids, counts = token_ids.encode(batch.column("text"), path, spaces_kept)
             ids, counts = token_ids.with_end(ids, counts, end_id)
+            column = token_ids.binary_column(ids, counts)
+            if zipped:
+                column = pa.array([zip_(part.as_buffer()) for part in column], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("stratum"), pa.array(counts), token_ids.binary_column(ids, counts)],
-                names=["doc_id", "stratum", "n_tokens", "ids"],
+                [batch.column("doc_id"), batch.column("stratum"), pa.array(counts), column],
+                names=["doc_id", "stratum", "n_tokens", name],
             )
 
     return docs.select("doc_id", source_key().alias("stratum"), "text").mapInArrow(
-        encode, f"doc_id {kind}, stratum string, n_tokens long, ids binary"
+        encode, f"doc_id {kind}, stratum string, n_tokens long, {name} binary"
     )
 
 
@@ -69,19 +82,31 @@ def pack(tokenised: DataFrame, window: int = 2048, seed: str = "queues", packet:
         F.col("n_tokens"),
     )
     totals = stored.groupBy("stratum").agg(F.sum("n_tokens").alias("queue_tokens"))
-    begin = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_tokens") - 1, F.lit(packet).cast("bigint")))
-    packets = queue.join(totals, "stratum").select(
-        "row_", "stratum", "n_tokens", "before", "queue_tokens", begin.alias("start")
-    ).withColumn("length", F.least(F.lit(packet).cast("bigint"), F.col("n_tokens") - F.col("start")))
     quantum = F.col("queue_tokens") * F.lit(float(window)) / F.lit(float(total))
-    end = F.col("before") + F.col("start") + F.col("length")
-    round_ = F.least(F.greatest(F.ceil(end / quantum), F.lit(1)), F.lit(n_rounds)) - 1
-    # Packets of a document in one round follow each other, so they go as one.
-    together = packets.groupBy("row_", "stratum", round_.alias("round")).agg(
-        F.min("start").alias("start"), F.sum("length").alias("length"), F.min(F.col("before") + F.col("start")).alias("at")
-    )
+
+    def round_of(start):  # the round in which the packet that starts there is sent
+        end = F.col("before") + F.least(start + packet, F.col("n_tokens"))
+        return F.least(F.greatest(F.ceil(end / quantum), F.lit(1)), F.lit(n_rounds)) - 1
+
+    # A document's packets of one round follow each other, so they go as one piece: those
+    # are kept whose round the packet before them is not in.
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("n_tokens") - 1, F.lit(packet).cast("bigint"))
+    firsts = F.filter(starts, lambda s: (s == 0) | (round_of(s) != round_of(s - packet)))
+    parts = queue.join(totals, "stratum").select("row_", "stratum", "n_tokens", "before", "queue_tokens", firsts.alias("firsts"))
+    ends = F.concat(F.slice("firsts", 2, F.size("firsts")), F.array("n_tokens"))
+    parts = parts.select(
+        "row_", "stratum", "n_tokens", "before", "queue_tokens",
+        F.explode(F.arrays_zip(F.col("firsts").alias("start"), ends.alias("end"))).alias("part"),
+    )
     sent, counted = stages.observed_table(
-        together,
+        parts.select(
+            "row_",
+            "stratum",
+            F.col("part.start").alias("start"),
+            (F.col("part.end") - F.col("part.start")).alias("length"),
+            round_of(F.col("part.start")).alias("round"),
+            (F.col("before") + F.col("part.start")).alias("at"),
+        ),
         "packets",
         n=F.count("*"),
     )
@@ -98,14 +123,53 @@ def pack(tokenised: DataFrame, window: int = 2048, seed: str = "queues", packet:
         "sequence_id",
         (low - F.col("sequence_id") * window).alias("offset"),
     )
-    # The pieces of a partition are its small side: the ids stream past a hash of them.
-    joined = stored.join(slim.hint("shuffle_hash"), "row_")
-    part = F.substring("ids", (F.col("start") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))
-    return joined.select(
-        "doc_id", "stratum", "start", "length", F.col("n_tokens").alias("doc_tokens"), "sequence_id", "offset", part.alias("ids")
+    # One record per document and its pieces, so that its ids are taken apart once. These
+    # are the small side of a partition: the ids stream past a hash of them.
+    cuts = slim.groupBy("row_").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))
+    name = "zipped" if "zipped" in stored.columns else "ids"
+    kind = stored.schema["doc_id"].dataType.simpleString()
+    return stored.join(cuts.hint("shuffle_hash"), "row_").select("doc_id", "stratum", "n_tokens", name, "cuts").mapInArrow(
+        _cut, f"doc_id {kind}, stratum string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     )
 
 
+#: About so many bytes of pieces go back at a time.
+_BATCH = 1 << 23
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of documents, with the ids of each."""
+    unzip = zstandard.ZstdDecompressor().decompress
+    names = ["start", "length", "sequence_id", "offset"]
+    for batch in batches:
+        zipped = "zipped" in batch.schema.names
+        whole = batch.column("zipped" if zipped else "ids")
+        rows, found, size = [], {c: [] for c in [*names, "ids"]}, 0
+
+        def pieces(batch=batch):
+            taken = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("doc_id", "stratum", "n_tokens")]
+            start, length, sequence, offset = (pa.array(found[c], pa.int64()) for c in names)
+            return pa.RecordBatch.from_arrays(
+                [*taken[:2], start, length, taken[2], sequence, offset, pa.array(found["ids"], pa.binary())],
+                names=["doc_id", "stratum", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
+            )
+
+        for k, cuts in enumerate(batch.column("cuts").to_pylist()):
+            ids = whole[k].as_py()
+            ids = unzip(ids) if zipped else ids
+            for cut in cuts:
+                rows.append(k)
+                for c in names:
+                    found[c].append(cut[c])
+                found["ids"].append(ids[4 * cut["start"] : 4 * (cut["start"] + cut["length"])])
+                size += 4 * cut["length"]
+                if size >= _BATCH:
+                    yield pieces()
+                    rows, found, size = [], {c: [] for c in [*names, "ids"]}, 0
+        if rows:
+            yield pieces()
+
+
 def windows(pieces: DataFrame) -> DataFrame:
     """``(sequence_id, ids)``: the packed windows, each at most one window of ids long."""
     ordered = F.array_sort(F.collect_list(F.struct("offset", "ids")))

@@ -84,7 +84,7 @@ def op4_sharding(spark, sf_dir):
 def op5_packing(spark, sf_dir):
     """Every document's pieces in sequences of at most 2048 tokens."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    tokenised = packing.tokenise(read(spark, sf_dir, "documents"), path, end_id=1, spaces_kept=False)
+    tokenised = packing.tokenise(read(spark, sf_dir, "documents"), path, end_id=1, spaces_kept=False, zipped=True)
     return packing.digest(packing.pack(tokenised, 2048))
 
 

@@ -315,6 +315,8 @@ def test_pieces_of_a_round_are_one(spark):
     pieces = packing.pack(tokenised, 2048).collect()
     assert sum(r["length"] for r in pieces) == sum(r["n_tokens"] for r in tokenised.collect())
     assert len(pieces) <= 8 * 3001 // 1024 * 3
+    zipped = packing.tokenise(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, spaces_kept=False, zipped=True)
+    assert sorted(map(tuple, packing.pack(zipped, 2048).collect())) == sorted(map(tuple, pieces))
     shares = {}
     for r in pieces:
         shares.setdefault(r["sequence_id"], {}).setdefault(r["stratum"], []).append(r["length"])

@@ -52,7 +52,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens, with a digest of their ids."""
     ship_code(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
-    return packing.digest(packing.pack(packing.tokenise(docs, path, end_id=1, spaces_kept=False), 2048))
+    tokenised = packing.tokenise(docs, path, end_id=1, spaces_kept=False, zipped=True)
+    return packing.digest(packing.pack(tokenised, 2048))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

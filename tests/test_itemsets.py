@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +185,67 @@ def test_hot_node_is_cut_over_tasks_and_counts_stay_whole(spark, monkeypatch):
     parts = spread.select("node", F.spark_partition_id().alias("p")).distinct().groupBy("node").count()
     assert {r.node: r["count"] > 1 for r in parts.collect()} == {1: True, 2: False}
     assert spread.count() == 94 and spread.columns == ["node", "tid"]
+
+
+def test_subsumption_in_incomplete_collections(spark):
+    """A set goes if a larger one of the collection has its rows, also where those between are missing."""
+    rng = random.Random(21)
+    trans = {b: {r: {c for c in range(7) if rng.random() < 0.7} for r in range(30)} for b in range(2)}
+    trans[0] |= {r: {0, 1, 2, 3, 4} for r in range(30, 60)}  # equal rows
+    table = frame(spark, trans)
+    having = {}
+    for b, rows in trans.items():
+        for size in range(1, 8):
+            for cols in combinations(range(7), size):
+                found = frozenset(r for r, s in rows.items() if s.issuperset(cols))
+                if found and rng.random() < 0.4:
+                    having[b, cols] = found
+    expected = {
+        (b, c) for (b, c), rows in having.items()
+        if not any(x == b and set(c) < set(d) and having[x, d] == rows for x, d in having)
+    }
+    assert 0 < len(expected) < len(having)
+    sets = spark.createDataFrame([(b, list(reversed(c))) for b, c in having] * 2 + [(0, []), (5, [1]), (0, [99])], "bucket_id int, cols array<int>")
+    got = its.subsumption_filter(sets, table).collect()
+    assert len(got) == len(expected) and {(r.bucket_id, tuple(r.cols)) for r in got} == expected
+    assert all(r.n_rows == len(having[r.bucket_id, tuple(r.cols)]) and r.row_min == min(having[r.bucket_id, tuple(r.cols)]) for r in got)
+    assert its.subsumption_filter(sets.where("false"), table).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_common_rows_by_bitmaps(spark, size):
+    """Row ids over several chunks of 32,768, negative ones and both ends of a chunk among them."""
+    rng = random.Random(size)
+    ids = [-40_000, -1, 0, 1, 32_767, 32_768, 32_769, 2**40] + rng.sample(range(100_000), 60)
+    trans = {r: {c for c in "abcde" if rng.random() < 0.6} for r in ids}
+    table = spark.createDataFrame([(3, r, sorted(s)) for r, s in trans.items()], "bucket_id int, row_id bigint, items array<string>")
+    expected = {}
+    for cols in combinations("abcde", size):
+        n = sum(s.issuperset(cols) for s in trans.values())
+        if n >= 4:
+            expected[cols] = n
+    assert {tuple(r["items"]): r.n_rows for r in its.common_rows(table, size, 4).collect()} == expected
+    assert its.common_rows(table.where("false"), size).count() == 0
+
+
+def test_row_sets_with_equal_hashes_are_told_apart(spark, monkeypatch):
+    """With hashes that say nothing, the cells of the groups decide which concepts have the same rows."""
+    rng = random.Random(8)
+    trans = {b: {r: {c for c in range(5) if rng.random() < 0.6} or {0} for r in range(24)} for b in range(3)}
+    trans[2] = dict(trans[0])
+    found = brute.closed_sets(trans, 6)
+
+    def parts():
+        zero = F.lit(0).cast("bigint")
+        return [F.count("*").alias("weight"), *[F.min(zero).alias(c) for c in ("row_min", "row_max")], *[F.bit_xor(zero).alias(c) for c in ("row_xor", "row_hash1", "row_hash2")]]
+
+    monkeypatch.setattr(its, "_row_set_parts", parts)
+    numbered = con.number_row_sets(its.closed_itemsets(frame(spark, trans), 6)).collect()
+    groups = {}
+    for r in numbered:
+        groups.setdefault((r.rows_level, r.rows_node), []).append(found[r.bucket_id, tuple(r.cols)])
+    assert len(numbered) == len(found)
+    assert sorted(map(len, groups.values())) == sorted(
+        sum(1 for rows in found.values() if rows == one) for one in set(found.values())
+    )
+    assert all(len(set(g)) == 1 for g in groups.values())

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from bicspark import sources
 from bicspark.operators import cells as cel
+from bicspark.operators import concepts as con
 from bicspark.operators import grid as gr
 from bicspark.operators import itemsets as its
 from bicspark.plans.bicluster import biclusters, bucketed_triples
@@ -139,3 +140,34 @@ def test_grouping_by_row_reuses_the_partitioning_of_the_cells(spark, cells):
     trans = its.transactions(bucketed_triples(cells, gr.default_grid()))
     plan = trans._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "PythonUDF" not in plan
+
+
+def test_lines_do_not_depend_on_sizes(spark, cells):
+    """Rows of one block of ids share a line, however many triples or rows the rest has."""
+    grid = gr.range_grid(0, 12, 3, 0.5)
+    found = bucketed_triples(cells, grid).withColumn("bucket", gr.bucket_label("bucket_id", grid))
+    for per_line in (1, 3, 1000):
+        blocks = {(r.bucket, r.row_id // per_line) for r in found.collect()}
+        lines = sources.bucket_lines(found, per_line).collect()
+        assert len(lines) == len(blocks)
+        some = {r.value for r in sources.bucket_lines(found.where(F.col("row_id") < 2 * per_line), per_line).collect()}
+        assert some <= {r.value for r in lines}
+    with pytest.raises(ValueError):
+        sources.bucket_lines(found, 0)
+
+
+def test_columns_in_the_order_of_their_text(spark):
+    data = [(r, c, 1.0) for r in range(4) for c in (2, 10, 9)]
+    matrix = spark.createDataFrame(data, "row_id bigint, col int, value double")
+    closed, ranked = biclusters(matrix, gr.range_grid(0, 4, 4, 0), minsup=3, least_cols=3)
+    by_text = sources.concept_lines(closed, ranked, item_order="text").collect()
+    assert [r.value for r in by_text] == ["0 1 2 3,10 2 9 % 4,3"]
+    assert [r.value for r in sources.concept_lines(closed, ranked).collect()] == ["0 1 2 3,2 9 10 % 4,3"]
+    with pytest.raises(ValueError):
+        sources.concept_lines(closed, ranked, item_order="size")
+
+
+def test_positions_follow_the_ranking(spark, cells):
+    _, ranked = biclusters(cells, gr.range_grid(0, 12, 3, 0.5), minsup=3, least_cols=2)
+    placed = {(r.level, r.node): r.position for r in con.with_position(ranked).collect()}
+    assert [placed[r.level, r.node] for r in ranked.collect()] == list(range(1, len(placed) + 1))

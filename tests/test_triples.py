@@ -113,3 +113,39 @@ def test_bucket_label_and_summary(spark):
     assert labels == {1: "1.0:2.0", -1: ""}
     summary = {r.bucket_id: (r.n_triples, r.n_rows, r.mean_cv) for r in gr.bucket_summary(df).collect()}
     assert summary == {1: (3, 2, 0.6), -1: (1, 1, 1.0)}
+
+
+@pytest.mark.parametrize("mode", ["all", "last"])
+def test_a_table_of_ranges_of_all_widths(spark, mode):
+    """Nested, equal, empty, reversed and single-point ranges from 1e-9 to 1e9 wide; values at their ends."""
+    rng = random.Random(5)
+    ranges = []
+    for k in range(300):
+        lo = rng.choice([rng.uniform(-100, 100), float(rng.randint(-5, 5)), rng.uniform(-1e9, 1e9)])
+        ranges.append((k, lo, lo + rng.choice([0.0, 1e-9, 0.5, 3.0, 250.0, 1e9, -1.0])))
+    ranges += [(300, float("nan"), 1.0), (301, None, 1.0), (302, 0.0, float("inf")), (303, 1.0, 1.0), (304, 0.0, -0.0)]
+    values = [e for _, lo, hi in ranges for e in (lo, hi)] + [rng.uniform(-120, 120) for _ in range(200)] + [1.0] * 30
+    stats = spark.createDataFrame(list(enumerate(values)), "row_id bigint, mean2 double").withColumn("value_", F.lit("x"))
+    table = spark.createDataFrame(ranges, "bucket_id bigint, lo double, hi double")
+    live = [(b, lo, hi) for b, lo, hi in ranges if lo is not None and -1e300 < lo <= hi < 1e300]
+    expected = set()
+    for row, v in enumerate(values):
+        found = [] if v is None else [b for b, lo, hi in live if lo <= v <= hi]
+        expected |= {(row, b) for b in found} if mode == "all" else {(row, max(found, default=-1))}
+    got = gr.assign_ranges(stats, table, mode)
+    assert got.columns == ["row_id", "mean2", "value_", "bucket_id"]
+    rows = [(r.row_id, r.bucket_id) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == expected
+    if mode == "last":
+        matched = gr.assign_ranges(stats, table, mode, drop_unmatched=True).collect()
+        assert {(r.row_id, r.bucket_id) for r in matched} == {x for x in expected if x[1] != -1}
+    assert gr.assign_ranges(stats, table.where("false"), mode).where("bucket_id <> -1").count() == 0
+
+
+def test_ranges_as_a_table_equal_the_literal_grid(spark):
+    grid = gr.range_grid(0, 20, 3, 1)
+    stats = spark.createDataFrame([(k, k / 7) for k in range(200)], "row_id bigint, mean2 double")
+    for mode in ("all", "last"):
+        one = gr.assign_bucket(stats, grid, mode).collect()
+        two = gr.assign_ranges(stats, gr.grid_table(spark, grid).drop("bucket"), mode).collect()
+        assert sorted(map(tuple, one)) == sorted(map(tuple, two))

@@ -78,6 +78,13 @@ def free_name(name: str, columns: list[str]) -> str:
     return name
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, whose Python objects take little memory."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 #: From a batch's texts to its new columns, by name.
 FromTexts = Callable[[list[str | None]], dict[str, list]]
 
@@ -95,7 +102,7 @@ def from_texts(rows: DataFrame, keep: list[str], added: dict[str, T.DataType], s
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = start()
-        for batch in batches:
+        for batch in slices(batches):
             new = made(batch.column("text").to_pylist())
             columns = [pa.array(new[c], kinds[c]) if c in added else batch.column(c) for c in order]
             yield pa.RecordBatch.from_arrays(columns, names=order)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bicspark.llm import ids as token_ids
-from bicspark.llm.common import seeded, source_key
+from bicspark.llm.common import seeded, slices, source_key
 from bicspark.llm.prefix import SPAN, running
 from bicspark.plans.stages import Stages
 
@@ -134,14 +134,14 @@ def pack(tokenised: DataFrame, window: int = 2048, seed: str = "queues", packet:
 
 
 #: About so many bytes of pieces go back at a time.
-_BATCH = 1 << 23
+_BATCH = 1 << 22
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pieces of documents, with the ids of each."""
     unzip = zstandard.ZstdDecompressor().decompress
     names = ["start", "length", "sequence_id", "offset"]
-    for batch in batches:
+    for batch in slices(batches):
         zipped = "zipped" in batch.schema.names
         whole = batch.column("zipped" if zipped else "ids")
         rows, found, size = [], {c: [] for c in [*names, "ids"]}, 0

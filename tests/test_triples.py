@@ -149,3 +149,27 @@ def test_ranges_as_a_table_equal_the_literal_grid(spark):
         one = gr.assign_bucket(stats, grid, mode).collect()
         two = gr.assign_ranges(stats, gr.grid_table(spark, grid).drop("bucket"), mode).collect()
         assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+
+
+def test_totals_per_range_without_a_record_per_match(spark):
+    """As counted over all matches: equal, repeated and empty ranges, nulls, and few records for many matches."""
+    rng = random.Random(6)
+    values = [(rng.choice([None, r]), rng.choice([-0.0, 1.0, None, float("nan"), float("inf"), rng.uniform(-9, 9)])) for r in range(300)]
+    ranges = [(rng.choice([None, k // 2]), lo := float(rng.randint(-9, 9)), lo + rng.choice([0.0, 0.5, 7.0, -1.0])) for k in range(200)]
+    ranges += [(500, 0.0, -0.0), (501, float("nan"), 1.0), (502, None, 1.0), (503, 8.999, 8.9991)]
+    stats = spark.createDataFrame(values, "row_id bigint, mean2 double")
+    table = spark.createDataFrame(ranges, "bucket_id bigint, lo double, hi double")
+    totals = {"n": ("sum", F.lit(1)), "x": ("xor", F.col("row_id")), "s": ("sum", F.col("row_id"))}
+    got = gr.assign_ranges(stats, table, totals=totals)
+    listed = gr.assign_ranges(stats, table).groupBy("bucket_id").agg(F.count("*"), F.bit_xor("row_id"), F.sum("row_id"))
+    rows = {tuple(r) for r in got.collect()}
+    expected = {tuple(r) for r in listed.collect()}
+    assert len(rows) > 30 and rows == expected
+    many = spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") / 3000).alias("mean2"))
+    wide = spark.range(3000).select(F.col("id").alias("bucket_id"), (-F.col("id") / 3000).alias("lo"), F.lit(1.0).alias("hi"))
+    found = gr.assign_ranges(many, wide, totals=totals).cache()
+    assert found.agg(F.sum("n")).first()[0] == 9_000_000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "width" not in plan  # no join of values with cells of ranges
+    with pytest.raises(ValueError):
+        gr.assign_ranges(many, wide, "last", totals=totals)

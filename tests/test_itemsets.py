@@ -249,3 +249,15 @@ def test_row_sets_with_equal_hashes_are_told_apart(spark, monkeypatch):
         sum(1 for rows in found.values() if rows == one) for one in set(found.values())
     )
     assert all(len(set(g)) == 1 for g in groups.values())
+
+
+def test_fp_growth_takes_a_bounded_number_of_baskets_per_task(spark, monkeypatch):
+    from pyspark.ml.fpm import FPGrowth
+
+    parts = []
+    fit = FPGrowth.fit
+    monkeypatch.setattr(FPGrowth, "fit", lambda self, df: parts.append(df.rdd.getNumPartitions()) or fit(self, df))
+    monkeypatch.setattr(its, "BASKETS_PER_TASK", 50)
+    trans = frame(spark, {0: {r: {1, 2, r % 5 + 3} for r in range(1000)}})
+    assert its.frequent_itemsets(trans, 3).where("n_rows = 1000").count() == 3
+    assert parts == [20]

@@ -251,6 +251,20 @@ def test_row_sets_with_equal_hashes_are_told_apart(spark, monkeypatch):
     assert all(len(set(g)) == 1 for g in groups.values())
 
 
+@pytest.mark.parametrize("by_joins", [False, True])
+def test_steps_after_the_merge_work_on_distinct_transactions(spark, by_joins):
+    few = {0: {r: {1, 2, r % 3 + 3} for r in range(60)}, 1: {r: {1, r + 100} for r in range(20)}}
+    closed = its.closed_itemsets(frame(spark, few), 4, by_joins=by_joins)
+    assert closed.cut.count() == 3 + 20  # not 80
+    assert closed.cut.agg({"weight": "sum"}).first()[0] == 80
+    groups = closed.row_groups().collect()
+    assert sorted((r.bucket_id, r.row_id) for r in groups) == sorted((b, r) for b, rows in few.items() for r in rows)
+    tids = {(r.bucket_id, r.row_id): r.tid for r in groups}
+    assert len({tids[0, r] for r in range(60)}) == 3 and len({tids[1, r] for r in range(20)}) == 1
+    got = {(r.bucket_id, tuple(r.cols)): r.n_rows for r in closed.concepts.collect()}
+    assert got == {k: len(rows) for k, rows in brute.closed_sets(few, 4).items()}
+
+
 def test_fp_growth_takes_a_bounded_number_of_baskets_per_task(spark, monkeypatch):
     from pyspark.ml.fpm import FPGrowth
 

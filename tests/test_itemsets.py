@@ -1,9 +1,12 @@
 import random
+from functools import reduce
 from itertools import combinations
+from operator import xor
 
 import pytest
 from pyspark.sql import functions as F
 
+from bicspark.operators import closure
 from bicspark.operators import concepts as con
 from bicspark.operators import itemsets as its
 from tests import brute
@@ -187,6 +190,38 @@ def test_hot_node_is_cut_over_tasks_and_counts_stay_whole(spark, monkeypatch):
     assert spread.count() == 94 and spread.columns == ["node", "tid"]
 
 
+@pytest.mark.parametrize("by_joins", [False, True])
+def test_rows_and_row_sets_of_nodes_in_pieces(spark, monkeypatch, by_joins):
+    from bicspark.plans import stages
+
+    monkeypatch.setattr(stages, "RECORDS_PER_TASK", 5)
+    monkeypatch.setattr(stages.Stages, "tasks", lambda self, n_records: 12)
+    trans = random_transactions(9, 60, 6, density=0.7)
+    closed = its.closed_itemsets(frame(spark, trans), 3, by_joins=by_joins)
+    assert any("piece" in occ.columns for occ, _ in closed.steps[1:])
+    every = brute.closed_sets(set_of(trans), 3)
+    assert mined(closed) == every
+    got = closed.with_row_sets().collect()
+    assert {(r.bucket_id, tuple(r.cols)): (r.n_rows, r.row_min, r.row_max, r.row_xor) for r in got} == {
+        k: (len(rows), min(rows), max(rows), reduce(xor, rows)) for k, rows in every.items()
+    }
+    some = closed.with_row_sets(closed.concepts).select(*got[0].__fields__)
+    assert len(got) == len(every) and sorted(some.collect()) == sorted(got)
+
+
+def test_rare_pairs_are_dropped_before_a_shuffle(spark):
+    """Only records are shuffled where a node is in one piece; a node in pieces adds up."""
+    rng = random.Random(5)
+    rows = [(n, 10 * n + t, rng.randint(1, 3), sorted(rng.sample(range(5, 12), 4)), sorted(rng.sample(range(5), 2))) for n in range(9) for t in range(8)]
+    occ = spark.createDataFrame(rows, "node bigint, tid bigint, weight bigint, cand array<int>, pre array<int>")
+    expected = sorted(closure.pair_counts(occ, 6).collect())
+    whole = closure.pair_counts(occ, 6, 3)
+    pieces = closure.pair_counts(occ.withColumn("piece", F.when(F.col("node") < 2, 1 + F.col("tid") % 2).otherwise(0)), 6, 3)
+    assert expected and sorted(whole.collect()) == sorted(pieces.collect()) == expected
+    plan = closure.pair_counts(occ, 6, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
 def test_subsumption_in_incomplete_collections(spark):
     """A set goes if a larger one of the collection has its rows, also where those between are missing."""
     rng = random.Random(21)

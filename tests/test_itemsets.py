@@ -172,6 +172,18 @@ def test_row_sets_with_equal_hashes_are_still_told_apart(spark, monkeypatch):
     assert sorted(r.bucket_ids for r in distinct.collect()) == [[0, 1], [2, 3], [4]]
 
 
+def test_only_groups_of_compared_concepts_are_met(spark):
+    rows = [(0, r, [1]) for r in range(4)] + [(0, r, [2]) for r in range(4, 10)]
+    rows += [(1, r, [7]) for r in range(4)] + [(1, r, [8]) for r in range(4, 13)]
+    trans = spark.createDataFrame(rows, "bucket_id int, row_id bigint, items array<int>")
+    closed = its.closed_itemsets(trans, 2)
+    distinct = con.distinct_concepts(con.number_row_sets(closed)).collect()
+    assert sorted((r.n_rows, r.row_min) for r in distinct) == [(4, 0), (4, 0), (6, 4), (9, 4)]
+    assert len({(r.rows_level, r.rows_node) for r in distinct}) == 3
+    cells = spark.read.parquet(f"{closed.stages.folder}/cells-*").collect()
+    assert [c.n_shared for c in cells] == [4]
+
+
 def test_having_value(spark):
     df = spark.createDataFrame([(["1#16.0", "2#3.0"],), (["1#1.0"],)], "cols array<string>")
     assert con.having_value(df, 16).count() == 1

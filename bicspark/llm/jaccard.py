@@ -25,7 +25,7 @@ of them differ in no more places than the sets differ in tokens.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -330,28 +330,46 @@ def index(docs: DataFrame, plan: Plan, n_groups: int) -> DataFrame:
     return packed.groupBy("group").applyInArrow(collide, "signature long, class long, members long")
 
 
-def wanted_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """``(key, class, set)`` of the distinct sets whose 48-bit key is in ``wanted (key)``."""
-    bits = min(FILTER_BITS, 1 << max(10, (8 * n_wanted).bit_length()))
-    # Two bits for each key. What a full filter lets through too, the join takes out.
-    places = wanted.select(F.explode(F.array(*[F.col("key") if not k else F.shiftright("key", k) for k in (0, 20)])).alias("at"))
-    places = places.select((F.col("at") % F.lit(bits)).alias("at"))
+def _key_filter(keys: DataFrame, n_keys: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Whether longs may be among ``keys (key)``; goes to all tasks, with two bits for each key."""
+    bits = min(FILTER_BITS, 1 << max(10, (8 * n_keys).bit_length()))
+    places = keys.select(F.explode(F.array(*[F.col("key") if not k else F.shiftright("key", k) for k in (0, 20)])).alias("at"))
+    places = places.select(F.pmod("at", F.lit(bits)).alias("at"))
     words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask")
     ).toPandas()
     filled = np.zeros(bits // 64, dtype=np.int64)
     filled[words["word"].to_numpy(dtype=np.int64)] = words["mask"].to_numpy(dtype=np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(filled)
+    shared = keys.sparkSession.sparkContext.broadcast(filled)
 
-    def may_be(keys: np.ndarray) -> np.ndarray:
-        found = np.ones(len(keys), dtype=bool)
+    def may_be(longs: np.ndarray) -> np.ndarray:
+        found = np.ones(len(longs), dtype=bool)
         for k in (0, 20):
-            at = (keys >> k) % bits
+            at = (longs >> k) % bits
             found &= (shared.value[at >> 6] >> (at & 63)) & 1 == 1
         return found
 
+    return may_be
+
+
+def wanted_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """``(key, class, set)`` of the distinct sets whose 48-bit key is in ``wanted (key)``.
+
+    Texts are hashed again only of documents whose ``doc_id`` may be one that ``classes``
+    names as a ``holder`` of a wanted set. What the filters let through too, the join takes out.
+    """
+    may_be = _key_filter(wanted, n_wanted)
+    holders = classes.join(wanted, "key", "left_semi").select(F.col("holder").alias("key"))
+    may_hold = _key_filter(holders, n_wanted)
+
+    def held(batches):
+        for batch in batches:
+            found = may_hold(batch.column("holder").to_numpy())
+            if found.any():
+                yield batch.filter(pa.array(found))
+
     def run(batches):
-        for _, tokens, counts, ids in _texts(batches):
+        for _, tokens, counts, ids in _texts(held(batches)):
             at = _once(ids, counts)
             keys = (ids[at] & _CLASS).astype(np.int64)
             found = may_be(keys)
@@ -361,7 +379,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
             data = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(tokens))])
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[at].view(np.int64)), data], names=["key", "class", "set"])
 
-    rows = docs.select("text").mapInArrow(run, "key long, class long, set binary")
+    rows = docs.select("text", F.xxhash64("doc_id").alias("holder")).mapInArrow(run, "key long, class long, set binary")
     return rows.join(wanted, "key", "left_semi").groupBy("key", "class").agg(F.first("set").alias("set"))
 
 
@@ -512,7 +530,8 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
         postings = stages.table(anchored(shared), "postings")
         classes = stages.table(
             described.where(F.col("class").isNotNull()).groupBy(key, "class").agg(
-                F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
+                F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"),
+                F.xxhash64(F.min("doc_id")).alias("holder"),
             ).join(shared.select(F.col("class").alias("key")).distinct(), "key", "left_semi"),
             "classes",
         )
@@ -520,7 +539,7 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
         best = F.max_by("anchor", F.struct("n", -F.col("anchor"))).alias("anchor")
         pairs = met.groupBy("class").agg(best).select(F.col("class").alias("key"), "anchor")
         pairs = stages.table(plausible(pairs, classes, percent), "pairs-0")
-        found = _verified(docs, pairs, percent, stages, "round-0")
+        found = _verified(docs, classes, pairs, percent, stages, "round-0")
         for round_ in (1, 2):
             placed, n_placed = _placed(postings, found, stages, f"placed-{round_}")
             if round_ == 1:
@@ -530,7 +549,7 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
                 known = pairs.unionByName(pairs.select(F.col("anchor").alias("key"), F.col("key").alias("anchor")))
                 more = open_pairs(placed, n_placed, classes, percent).join(known, ["key", "anchor"], "left_anti")
             more = stages.table(more, f"pairs-{round_}")
-            found = found.unionByName(_verified(docs, more, percent, stages, f"round-{round_}"))
+            found = found.unionByName(_verified(docs, classes, more, percent, stages, f"round-{round_}"))
             pairs = pairs.unionByName(more)
             stages.drop(f"placed-{round_}")
         links = found
@@ -560,14 +579,16 @@ def _placed(postings: DataFrame, found: DataFrame, stages: Stages, name: str) ->
     return placed, seen["n"]
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int, stages: Stages, name: str) -> DataFrame:
+def _verified(
+    docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, stages: Stages, name: str
+) -> DataFrame:
     """The links among the pairs, as a stage table."""
     wanted, seen = stages.observed_table(
         pairs.select("key").unionByName(pairs.select(F.col("anchor").alias("key"))).distinct(), f"{name}-wanted", n=F.count("*")
     )
     if not seen["n"]:
         return docs.sparkSession.createDataFrame([], "a long, b long")
-    sets = stages.table(wanted_sets(docs, wanted, seen["n"]), f"{name}-sets")
+    sets = stages.table(wanted_sets(docs, classes, wanted, seen["n"]), f"{name}-sets")
     links = stages.table(verify(pairs, sets, percent), f"{name}-links")
     stages.drop(f"{name}-wanted", f"{name}-sets")
     return links

@@ -323,3 +323,22 @@ def test_pieces_of_a_round_are_one(spark):
     for sequence, found in shares.items():
         if sequence < max(shares):
             assert all(abs(sum(v) - 1024) <= packing.PACKET for v in found.values())
+
+
+def test_only_texts_of_holders_are_hashed_again(spark):
+    ship_code(spark)
+    words = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, words), (1, "other " + words), (2, words), (None, "third " + words), (None, None), (3, "last of all these words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # The key is that of the class: its lower 48 bits.
+    key = F.col("class").bitwiseAND(F.lit((1 << 48) - 1)).alias("key")
+    described = jaccard.describe(docs).where(F.col("class").isNotNull())
+    classes = described.groupBy(key, "class").agg(F.xxhash64(F.min("doc_id")).alias("holder"))
+    wanted = classes.select("key")
+    found = {r["class"] for r in jaccard.wanted_sets(docs, classes, wanted, 4).collect()}
+    assert found == {r["class"] for r in classes.collect()} and len(found) == 4
+    # No document has the id that the holder names, so none is read.
+    elsewhere = classes.withColumn("holder", F.xxhash64(F.lit(10**9).cast("bigint")))
+    assert jaccard.wanted_sets(docs, elsewhere, wanted, 4).count() == 0
+    found = {(r["doc_id"], r["component_id"]) for r in jaccard.join(docs).collect()}
+    assert found == {(1, 1), (2, 1), (None, 1), (None, None), (3, 3)}

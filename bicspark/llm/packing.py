@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -32,20 +33,23 @@ def tokenise(docs: DataFrame, path: str, end_id: int, spaces_kept: bool, zipped:
     """``(doc_id, stratum, n_tokens, ids)``; ids are 32-bit little-endian, with the end id.
 
     With ``zipped`` they are in a column of that name instead, each document's compressed
-    (zstd), as :func:`pack` writes and shuffles them.
+    (zstd), as :func:`pack` writes and shuffles them; as 16-bit integers if a document's ids
+    are all that small.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     name = "zipped" if zipped else "ids"
 
     def encode(batches):
-        zip_ = zstandard.ZstdCompressor(level=1).compress
+        zip_ = zstandard.ZstdCompressor(level=2).compress
         for batch in token_ids.chunks(batches):
             ids, counts = token_ids.encode(batch.column("text"), path, spaces_kept)
             ids, counts = token_ids.with_end(ids, counts, end_id)
-            column = token_ids.binary_column(ids, counts)
             if zipped:
-                column = pa.array([zip_(part.as_buffer()) for part in column], pa.binary())
+                parts = np.split(ids, np.cumsum(counts)[:-1])
+                column = pa.array([zip_(_narrow(part).tobytes()) for part in parts], pa.binary())
+            else:
+                column = token_ids.binary_column(ids, counts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("stratum"), pa.array(counts), column],
                 names=["doc_id", "stratum", "n_tokens", name],
@@ -56,6 +60,10 @@ def tokenise(docs: DataFrame, path: str, end_id: int, spaces_kept: bool, zipped:
     )
 
 
+def _narrow(ids: np.ndarray) -> np.ndarray:
+    return ids.astype("<u2" if ids.max(initial=0) < 1 << 16 else "<u4")
+
+
 def pack(tokenised: DataFrame, window: int = 2048, seed: str = "queues", packet: int = PACKET) -> DataFrame:
     """``(doc_id, stratum, start, length, doc_tokens, sequence_id, offset, ids)`` per piece.
 
@@ -144,6 +152,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         zipped = "zipped" in batch.schema.names
         whole = batch.column("zipped" if zipped else "ids")
+        sizes = batch.column("n_tokens").to_pylist()
         rows, found, size = [], {c: [] for c in [*names, "ids"]}, 0
 
         def pieces(batch=batch):
@@ -156,7 +165,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         for k, cuts in enumerate(batch.column("cuts").to_pylist()):
             ids = whole[k].as_py()
-            ids = unzip(ids) if zipped else ids
+            if zipped:
+                # Two or four bytes per id, as the document's length tells.
+                ids = unzip(ids)
+                ids = np.frombuffer(ids, f"<u{len(ids) // sizes[k]}").astype("<u4").tobytes()
             for cut in cuts:
                 rows.append(k)
                 for c in names:

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -325,6 +326,27 @@ def test_pieces_of_a_round_are_one(spark):
             assert all(abs(sum(v) - 1024) <= packing.PACKET for v in found.values())
 
 
+def test_zipped_ids_take_two_bytes_where_they_fit(spark):
+    ship_code(spark)
+    rows = [(1, "word one two " * 50, "a"), (2, None, "a"), (3, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = {r["doc_id"]: r for r in packing.tokenise(docs, path, 1, False).collect()}
+    for r in packing.tokenise(docs, path, 1, False, zipped=True).collect():
+        unzipped = zstandard.ZstdDecompressor().decompress(r["zipped"])
+        assert len(unzipped) == 2 * r["n_tokens"] == 2 * plain[r["doc_id"]]["n_tokens"]
+        assert np.array_equal(np.frombuffer(unzipped, "<u2"), np.frombuffer(plain[r["doc_id"]]["ids"], "<u4"))
+    # Ids that need more stay whole, beside documents whose ids do not.
+    numbers = {1: np.arange(70_000, 73_000), 2: np.arange(5), 3: np.array([0, 65_535]), 4: np.array([65_536])}
+    zip_ = zstandard.ZstdCompressor().compress
+    rows = [(k, "s", len(v), bytearray(zip_(packing._narrow(v).tobytes()))) for k, v in numbers.items()]
+    zipped = spark.createDataFrame(rows, "doc_id long, stratum string, n_tokens long, zipped binary")
+    found = {}
+    for r in sorted(packing.pack(zipped, 2048).collect(), key=lambda r: (r["doc_id"], r["start"])):
+        found.setdefault(r["doc_id"], []).append(np.frombuffer(r["ids"], "<u4"))
+    assert {k: np.concatenate(v).tolist() for k, v in found.items()} == {k: v.tolist() for k, v in numbers.items()}
+
+
 def test_only_texts_of_holders_are_hashed_again(spark):
     ship_code(spark)
     words = " ".join(f"w{k}" for k in range(40))

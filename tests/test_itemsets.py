@@ -1,4 +1,8 @@
+import glob
+import os
 import random
+import tempfile
+import time
 from functools import reduce
 from itertools import combinations
 from operator import xor
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 from bicspark.operators import closure
 from bicspark.operators import concepts as con
 from bicspark.operators import itemsets as its
+from bicspark.plans.stages import Stages
 from tests import brute
 
 
@@ -322,3 +327,32 @@ def test_fp_growth_takes_a_bounded_number_of_baskets_per_task(spark, monkeypatch
     trans = frame(spark, {0: {r: {1, 2, r % 5 + 3} for r in range(1000)}})
     assert its.frequent_itemsets(trans, 3).where("n_rows = 1000").count() == 3
     assert parts == [20]
+
+
+def shuffle_files(spark):
+    folder = spark.conf.get("spark.local.dir", None) or os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir()
+    return set(glob.glob(f"{folder}/**/shuffle_*", recursive=True))
+
+
+def test_stage_tables_leave_no_shuffle_files(spark, tmp_path):
+    """They stayed until the driver collected garbage, so disk held those of many jobs."""
+    before = shuffle_files(spark)
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("key")).agg(F.count("*").alias("n"))
+    table = Stages(spark, str(tmp_path / "stages")).table(counted, "counted")
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert table.agg(F.sum("n")).first()[0] == 1000
+
+
+def test_row_sets_are_written_level_by_level(spark, tmp_path):
+    """One job for all levels held the shuffled records of all of them on disk."""
+    trans = random_transactions(3, 30, 6)
+    folder = tmp_path / "stages"
+    closed = its.closed_itemsets(frame(spark, trans), 3, stages=Stages(spark, str(folder)))
+    found = closed.with_row_sets().collect()
+    assert len(list(folder.glob("level-row-sets-*"))) == len(closed.steps) + 1 > 2
+    assert {(r.level, r.node): r.n_rows for r in found} == {(r.level, r.node): r.n_rows for r in closed.concepts.collect()}

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from bicspark.plans.stages import Stages
+from bicspark.plans.stages import Stages, ship_code  # noqa: F401
 
 #: Words of a text: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,18 +20,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ship_code(spark: SparkSession) -> None:
-    """Let Python workers on machines that hold this code import it.
-
-    On a cluster whose executors don't, pass the package with ``--py-files``.
-    """
-    root = str(Path(__file__).resolve().parents[2])
-    environment = spark.sparkContext.environment
-    known = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if root not in known.split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
-
-
 def source_key(source: str = "source") -> Column:
     """A source as a string that is never null; sources keep their order, null is last."""
     return F.coalesce(F.concat(F.lit("+"), F.col(source)), F.lit("~"))
